@@ -91,17 +91,18 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(right, cond, how).drop(*names.values())
 
 
-def skew_join(left: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def skew_join(left: DataFrame, groups: DataFrame, key: str, count: str, total: int, scatter: list[str] | None = None) -> DataFrame:
     """Left join of rows to a table with one row per key, even if one key holds most of the rows.
 
     Keys with more than HOT_SHARE of the `total` rows (so at most 1/HOT_SHARE of them, a proven bound) are broadcast;
-    their rows then carry a scattered key through the shuffle join that serves all others."""
+    their rows then carry a scattered key (made of the columns `scatter`) through the shuffle join that serves all
+    others.  Null keys match nothing."""
     cols = [c for c in groups.columns if c != key]
     cut = max(1000.0, total * HOT_SHARE)
     hot = groups.where(F.col(count) > cut).select(F.col(key).alias("_hk"), *[F.col(c).alias(f"_h_{c}") for c in cols])
     cold = groups.where(F.col(count) <= cut).select(F.concat(F.lit("k"), F.col(key).cast("string")).alias("_ck"), *[F.col(c).alias(f"_c_{c}") for c in cols])
     out = left.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
-    out = out.withColumn("_jk", F.when(F.col("_hk").isNull() & F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string"))).otherwise(F.concat(F.lit("~"), F.xxhash64(*left.columns).cast("string"))))
+    out = out.withColumn("_jk", F.when(F.col("_hk").isNull() & F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string"))).otherwise(F.concat(F.lit("~"), F.xxhash64(*(scatter or left.columns)).cast("string"))))
     out = out.join(cold, F.col("_jk") == F.col("_ck"), "left")
     return out.select(*left.columns, *[F.coalesce(f"_h_{c}", f"_c_{c}").alias(c) for c in cols])
 
