@@ -13,6 +13,9 @@ an empty table gives no pieces; no other columns are read."""
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +27,13 @@ from pyspark.sql import functions as F
 from .common import Stages, placed, running_total, skew_join, table
 
 LENGTH, END_ID = 4096, 2
-#: Distinct words whose ids a worker keeps, in two generations.
-MEMO = 150_000
-#: Text whose ids can't be put together from those of its words: rare white space, a sigma that lower-casing treats
-#: by place, marks that compose with what stands before, and special tokens.
-_WHOLE = regex.compile("[\x0b\x0c\x1c-\x1f\x85\\p{Z}--[ ]]|[ΣΙ]|\\s\\p{M}|<\\|", regex.V1)
+#: Distinct words whose ids a worker keeps in each of two generations.
+MEMO = 300_000
+#: Text that isn't put together from its words: rare white space, a sigma (which lower-casing by words would treat by
+#: its place), and special tokens.
+_WHOLE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u03a3]|<\\|")
+#: Fixed value: how this kind of vocabulary splits text.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 def default_vocabulary() -> str:
@@ -38,8 +43,9 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """ids of texts as little-endian unsigned 32-bit bytes.  A text's ids are those of its words in turn (white space
-    is dropped by this kind of vocabulary), so each distinct word is encoded once while it stays in the memo."""
+    """ids of texts as little-endian unsigned 32-bit bytes.  A text's ids are those of its words in turn, and a word's
+    those of its pieces (white space is dropped by this kind of vocabulary), so each distinct one is encoded once
+    while it stays in the memo."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,40 +56,44 @@ class Encoder:
         self.old: dict[str, bytes] = {}
 
     def _run(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _recall(self, wanted: set[str]) -> set[str]:
+        """Brings back what the older generation knows; returns the rest."""
+        known, old = self.new, self.old
+        again = wanted & old.keys() if len(old) < len(wanted) else {w for w in wanted if w in old}
+        for w in again:
+            known[w] = old[w]
+        return wanted - again
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        words: list[list[str]] = []
-        at: list[int] = []
+        out: list[bytes] = [b""] * len(texts)
+        words: list[tuple[int, list[str]]] = []
+        known, missing = self.new, set()
         for i, text in enumerate(texts):
-            if not text.isascii() and _WHOLE.search(text) or text.isascii() and _ascii_odd(text):
+            if _WHOLE.search(text):
                 out[i] = self._run([text])[0]
-            else:
-                words.append(text.split())
-                at.append(i)
-        known, old = self.new, self.old
-        missing = {w for ws in words for w in ws if w not in known}
-        again = {w for w in missing if w in old}
-        known.update((w, old[w]) for w in again)
-        fresh = list(missing - again)
-        for k in range(0, len(fresh), 20_000):
-            part = fresh[k : k + 20_000]
+                continue
+            own = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
+            words.append((i, own))
+            missing.update(own)
+        missing = self._recall(missing - known.keys())
+        split = {w: _PIECES.findall(w) for w in missing if not w.isalpha()}
+        fresh = {w for w in missing if w not in split}
+        fresh.update(x for xs in split.values() for x in xs)
+        todo = list(self._recall(fresh - known.keys()))
+        for k in range(0, len(todo), 20_000):
+            part = todo[k : k + 20_000]
             known.update(zip(part, self._run(part), strict=True))
-        for i, ws in zip(at, words, strict=True):
-            out[i] = b"".join([known[w] for w in ws])
+        for w, xs in split.items():
+            known[w] = b"".join([known[x] for x in xs])
+        for i, own in words:
+            out[i] = b"".join([known[w] for w in own])
         if len(known) > MEMO:
             self.old, self.new = known, {}
         return out
 
 
-_ASCII_ODD = regex.compile("[\x0b\x0c\x1c-\x1f]|<\\|")
-
-
-def _ascii_odd(text: str) -> bool:
-    return bool(_ASCII_ODD.search(text))
-
-
 def tokenize(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """doc_id, source, ids (binary, with the end id), doc_tokens for every row."""
     path = path or default_vocabulary()
