@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from . import media, packing, sharding, warc
+from . import media, packing, quality, sharding, toxicity, warc
 
-MODULES = (media, sharding, warc, packing)
+MODULES = (toxicity, quality, media, sharding, warc, packing)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: q for m in MODULES for name, q in m.SQL.items()}
