@@ -23,7 +23,7 @@ HIDDEN, DIM, ROWS, ATTEND = 8, 6, 4096, 8
 #: Rows of the table of document frequencies by hashed word.
 FREQ = 1 << 18
 #: Labelled rows of each class that the network is fitted on at most (chosen by a hash of their ids).
-FIT_DOCS = 2500
+FIT_DOCS = 2000
 #: Windows that one training text gives: those of highest log-odds, and others by chance.
 TOP, OTHERS = 2, 2
 THRESHOLD = 0.7
@@ -149,10 +149,6 @@ class Vocabulary:
         chars = np.add.reduceat(p["char"][self.tri], self.offset, axis=0) / self.size[:, None]
         return np.concatenate([self.odds[:, None], p["word"][self.row], chars], 1).astype(np.float32)
 
-    def add_gradient(self, g_word, g_char, dx: np.ndarray) -> None:
-        np.add.at(g_word, self.row, dx[:, 1 : 1 + DIM])
-        np.add.at(g_char, self.tri, np.repeat(dx[:, 1 + DIM :] / self.size[:, None], self.size, axis=0))
-
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and size of each window, and its text; every text has one at least, and its windows cover all its words."""
@@ -229,28 +225,35 @@ def frequencies(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return counts.reshape(2, FREQ), n
 
 
-def fit(texts: list[str], y: np.ndarray, odds: np.ndarray, seed: int = 7, epochs: int = 5, batch: int = 128) -> tuple[dict[str, np.ndarray], tuple[float, float]]:
+def fit(texts: list[str], y: np.ndarray, counts: np.ndarray, n: np.ndarray, seed: int = 7, epochs: int = 5, batch: int = 128) -> tuple[dict[str, np.ndarray], tuple[float, float]]:
     """The network's parameters, and slope and offset that turn a text's highest logit into a probability."""
     rng = np.random.default_rng(seed)
     p = new_params(rng)
-    raw = [t.encode() for t in texts]
-    bounds = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-    words = words_of(np.frombuffer(b"".join(raw), np.uint8), bounds)
-    vocabulary = Vocabulary(words, odds)
-    start, size, text = windows(words.first)
-    at, mask = place(start, size, vocabulary.of)
-    heat = np.where(mask, vocabulary.odds[at], -9).max(1) if len(vocabulary.odds) else np.zeros(len(at))
+    odds = log_odds(counts, n)
+    # What a text itself adds to the frequencies is taken off while it is learned from.
+    without = np.stack([log_odds(np.maximum(counts - np.array([[c == 0], [c == 1]]), 0), n) for c in (0, 1)])
     held = rng.random(len(y)) < 0.25  # for the calibration
-    pick = []
-    bounds_w = np.searchsorted(text, np.arange(len(y) + 1))
-    for i in np.flatnonzero(~held):
-        own = np.arange(bounds_w[i], bounds_w[i + 1])
-        hot = own[np.argsort(-heat[own])]
-        pick += list(hot[:TOP]) + (list(rng.choice(hot[TOP:], min(OTHERS, len(hot) - TOP), replace=False)) if not y[i] and len(hot) > TOP else [])
-    pick = np.array(pick, np.int64)
-    target = y[text].astype(np.float32)
+    picked: list[bytes] = []
+    target = []
+    for i in np.flatnonzero(~held):  # windows as texts of their own, so that no more than they need is held
+        data = np.frombuffer(texts[i].encode(), np.uint8)
+        w = words_of(data, np.array([0, len(data)]))
+        start, size, _ = windows(w.first)
+        heat = odds[(w.hash & np.uint64(FREQ - 1)).astype(np.int64)]
+        hot = np.argsort([-(heat[a : a + n].max() if n else 0) for a, n in zip(start, size, strict=True)], kind="stable")
+        own = list(hot[:TOP]) + (list(rng.choice(hot[TOP:], min(OTHERS, len(hot) - TOP), replace=False)) if not y[i] and len(hot) > TOP else [])
+        picked += [data[w.start[start[k]] : w.end[start[k] + size[k] - 1]].tobytes() if size[k] else b"" for k in own]
+        target += [float(y[i])] * len(own)
+    target = np.array(target, np.float32)
+    words = words_of(np.frombuffer(b"".join(picked), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in picked])]))
+    vocabulary = Vocabulary(words, odds)
+    at, mask = place(words.first[:-1], np.diff(words.first), vocabulary.of)
+    own_odds = without[np.repeat(target.astype(np.int64), np.diff(words.first)), (words.hash & np.uint64(FREQ - 1)).astype(np.int64)]
+    spot = np.minimum(words.first[:-1, None] + np.arange(WINDOW), max(0, len(words.hash) - 1))
+    pick = np.arange(len(target))
+    epochs = max(epochs, min(40, 600 * batch // max(1, len(pick))))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    weight = np.where(target == 1, 0.5 / max(1, (target[pick] == 1).sum()), 0.5 / max(1, (target[pick] == 0).sum())).astype(np.float32) * len(pick)
+    weight = (np.where(target == 1, 0.5 / max(1, (target == 1).sum()), 0.5 / max(1, (target == 0).sum())) * len(pick)).astype(np.float32)
     step = 0
     for _ in range(epochs):
         rng.shuffle(pick)
@@ -259,6 +262,7 @@ def fit(texts: list[str], y: np.ndarray, odds: np.ndarray, seed: int = 7, epochs
             used, inverse = np.unique(at[own], return_inverse=True)
             x_words = vocabulary_inputs(vocabulary, p, used)
             x = x_words[inverse.reshape(len(own), WINDOW)]
+            x[:, :, 0] = own_odds[spot[own]]
             keep: dict = {}
             logit = forward(p, x, mask[own], keep)
             g, dx = backward(p, x, keep, ((sigmoid(logit) - target[own]) * weight[own] / len(own)).astype(np.float32))
@@ -272,8 +276,10 @@ def fit(texts: list[str], y: np.ndarray, odds: np.ndarray, seed: int = 7, epochs
                 m += 0.1 * (g[k] - m)
                 v += 0.001 * (g[k] ** 2 - v)
                 p[k] = (p[k] - 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    top = max_logits(p, words, odds)
-    return p, platt(top[held], y[held]) if 0 < y[held].sum() < held.sum() else (1.0, 0.0)
+    if not 0 < y[held].sum() < held.sum():
+        return p, (1.0, 0.0)
+    top = [max_logits(p, words_of(data := np.frombuffer(texts[i].encode(), np.uint8), np.array([0, len(data)])), odds)[0] for i in np.flatnonzero(held)]
+    return p, platt(np.array(top), y[held])
 
 
 def vocabulary_inputs(v: Vocabulary, p, used: np.ndarray) -> np.ndarray:
@@ -316,7 +322,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str, fit_docs: int = FIT_D
     best = y.withColumn("_h", F.xxhash64("doc_id"))
     chosen = best.where("y = 1").orderBy("_h", "doc_id").limit(fit_docs).union(best.where("y = 0").orderBy("_h", "doc_id").limit(fit_docs)).select("doc_id", "y")
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").toPandas().sort_values("doc_id", kind="stable")
-    p, scale = fit(list(rows["text"]), rows["y"].to_numpy(), odds)
+    p, scale = fit(list(rows["text"]), rows["y"].to_numpy(), counts, n)
     return (p, odds, scale), None
 
 
