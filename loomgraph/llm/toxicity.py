@@ -1,8 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, over character and word inputs, trained in
 numpy; a text's score comes from its most toxic window, and windows overlap and cover the whole text.
 
-Word inputs are a class log-odds (document frequencies over all labelled training rows) and a hashed vector, character
-inputs the mean of hashed trigram vectors.  The network itself is fitted on at most FIT_DOCS labelled rows.  Null and
+Word inputs are a class log-odds (document frequencies over all labelled training rows) and a hashed vector; character
+inputs are the log-odds of the word's first bytes (stems, so that unseen forms are known) and the mean of hashed
+trigram vectors.  The network itself is fitted on at most FIT_DOCS labelled rows.  Null and
 empty texts get the score of a window without words; repeated rows get equal scores; without labels of both classes
 every score is the training share (0.5 without any); other columns are not read."""
 
@@ -16,12 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .text import mix, slices, words_of
+from .text import LOWER, mix, slices, words_of
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, DIM, ROWS, ATTEND = 8, 6, 4096, 8
-#: Rows of the table of document frequencies by hashed word.
-FREQ = 1 << 18
+#: Rows of the table of document frequencies by hashed word or stem; bytes of the stems.
+FREQ = 1 << 19
+STEMS = (4, 6, 8)
+ODDS = 1 + len(STEMS)
 #: Labelled rows of each class that the network is fitted on at most (chosen by a hash of their ids).
 FIT_DOCS = 2000
 #: Windows that one training text gives: those of highest log-odds, and others by chance.
@@ -37,7 +40,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def new_params(rng: np.random.Generator) -> dict[str, np.ndarray]:
-    inputs = 1 + 2 * DIM
+    inputs = ODDS + 2 * DIM
     p = {"word": rng.normal(0, 0.1, (ROWS, DIM)), "char": rng.normal(0, 0.1, (ROWS, DIM)), "att_w": rng.normal(0, 0.4, (2 * HIDDEN, ATTEND)), "att_v": rng.normal(0, 0.4, ATTEND), "out_w": rng.normal(0, 0.4, 2 * HIDDEN), "out_b": np.zeros(1)}
     for d in "fb":
         p |= {f"w_{d}": rng.normal(0, 0.4, (inputs, 3 * HIDDEN)), f"u_{d}": rng.normal(0, 0.4, (HIDDEN, 3 * HIDDEN)), f"c_{d}": np.zeros(3 * HIDDEN)}
@@ -125,13 +128,29 @@ def backward(p, x: np.ndarray, keep: dict, dlogit: np.ndarray) -> tuple[dict[str
 # --- inputs
 
 
+def entries(w, at: np.ndarray) -> np.ndarray:
+    """(words, ODDS) places in the table of frequencies: of the words at the given places, and of their stems (the
+    whole word where it is shorter)."""
+    out = np.empty((len(at), ODDS), np.int64)
+    out[:, 0] = (w.hash[at] & np.uint64(FREQ - 1)).astype(np.int64)
+    start, size = w.start[at], w.end[at] - w.start[at]
+    packed = np.zeros(len(at), np.uint64)
+    for k in range(max(STEMS)):
+        b = LOWER[w.data[np.minimum(start + k, max(0, len(w.data) - 1))]].astype(np.uint64) if len(w.data) else np.zeros(len(at), np.uint64)
+        packed |= np.where(k < size, b, np.uint64(0)) << np.uint64(8 * k)
+        if k + 1 in STEMS:
+            i = STEMS.index(k + 1)
+            out[:, 1 + i] = (mix(packed ^ mix(np.array([i + 1], np.uint64))) & np.uint64(FREQ - 1)).astype(np.int64)
+    return out
+
+
 class Vocabulary:
     """The distinct words of some texts, and the places of their character trigrams."""
 
     def __init__(self, words, odds: np.ndarray):
         uniq, first, self.of = np.unique(words.hash, return_index=True, return_inverse=True)
         self.row = (mix(uniq) & np.uint64(ROWS - 1)).astype(np.int64)
-        self.odds = odds[(uniq & np.uint64(FREQ - 1)).astype(np.int64)]
+        self.odds = odds[entries(words, first)]
         start, size = words.start[first], np.minimum(words.end[first] - words.start[first], 64)
         self.size = size + 1  # with a mark at each end: as many trigrams as bytes, and one
         self.offset = np.cumsum(self.size) - self.size
@@ -145,9 +164,9 @@ class Vocabulary:
 
     def inputs(self, p) -> np.ndarray:
         if not len(self.row):
-            return np.zeros((0, 1 + 2 * DIM), np.float32)
+            return np.zeros((0, ODDS + 2 * DIM), np.float32)
         chars = np.add.reduceat(p["char"][self.tri], self.offset, axis=0) / self.size[:, None]
-        return np.concatenate([self.odds[:, None], p["word"][self.row], chars], 1).astype(np.float32)
+        return np.concatenate([self.odds, p["word"][self.row], chars], 1).astype(np.float32)
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,7 +227,8 @@ def frequencies(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             y = np.asarray(part.column(1).to_numpy(zero_copy_only=False)).astype(np.int64)
             w = words_of(data, bounds)
             doc = np.repeat(np.arange(len(y)), np.diff(w.first))
-            key = np.unique(doc * FREQ + (w.hash & np.uint64(FREQ - 1)).astype(np.int64))
+            _, one = np.unique(doc * FREQ + (w.hash & np.uint64(FREQ - 1)).astype(np.int64), return_index=True)
+            key = np.unique((doc[one, None] * FREQ + entries(w, one)).ravel())
             counts += np.bincount(y[key // FREQ] * FREQ + key % FREQ, minlength=2 * FREQ)
             n += np.bincount(y, minlength=2)
         at = np.flatnonzero(counts)
@@ -239,7 +259,7 @@ def fit(texts: list[str], y: np.ndarray, counts: np.ndarray, n: np.ndarray, seed
         data = np.frombuffer(texts[i].encode(), np.uint8)
         w = words_of(data, np.array([0, len(data)]))
         start, size, _ = windows(w.first)
-        heat = odds[(w.hash & np.uint64(FREQ - 1)).astype(np.int64)]
+        heat = odds[entries(w, np.arange(len(w.hash)))].max(1)
         hot = np.argsort([-(heat[a : a + n].max() if n else 0) for a, n in zip(start, size, strict=True)], kind="stable")
         own = list(hot[:TOP]) + (list(rng.choice(hot[TOP:], min(OTHERS, len(hot) - TOP), replace=False)) if not y[i] and len(hot) > TOP else [])
         picked += [data[w.start[start[k]] : w.end[start[k] + size[k] - 1]].tobytes() if size[k] else b"" for k in own]
@@ -248,7 +268,7 @@ def fit(texts: list[str], y: np.ndarray, counts: np.ndarray, n: np.ndarray, seed
     words = words_of(np.frombuffer(b"".join(picked), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in picked])]))
     vocabulary = Vocabulary(words, odds)
     at, mask = place(words.first[:-1], np.diff(words.first), vocabulary.of)
-    own_odds = without[np.repeat(target.astype(np.int64), np.diff(words.first)), (words.hash & np.uint64(FREQ - 1)).astype(np.int64)]
+    own_odds = without[np.repeat(target.astype(np.int64), np.diff(words.first))[:, None], entries(words, np.arange(len(words.hash)))]
     spot = np.minimum(words.first[:-1, None] + np.arange(WINDOW), max(0, len(words.hash) - 1))
     pick = np.arange(len(target))
     epochs = max(epochs, min(40, 600 * batch // max(1, len(pick))))
@@ -262,7 +282,7 @@ def fit(texts: list[str], y: np.ndarray, counts: np.ndarray, n: np.ndarray, seed
             used, inverse = np.unique(at[own], return_inverse=True)
             x_words = vocabulary_inputs(vocabulary, p, used)
             x = x_words[inverse.reshape(len(own), WINDOW)]
-            x[:, :, 0] = own_odds[spot[own]]
+            x[:, :, :ODDS] = own_odds[spot[own]]
             keep: dict = {}
             logit = forward(p, x, mask[own], keep)
             g, dx = backward(p, x, keep, ((sigmoid(logit) - target[own]) * weight[own] / len(own)).astype(np.float32))
@@ -287,15 +307,15 @@ def vocabulary_inputs(v: Vocabulary, p, used: np.ndarray) -> np.ndarray:
     offset = np.cumsum(size) - size
     tri = v.tri[np.repeat(v.offset[used] - offset, size) + np.arange(size.sum())]
     chars = np.add.reduceat(p["char"][tri], offset, axis=0) / size[:, None]
-    return np.concatenate([v.odds[used, None], p["word"][v.row[used]], chars], 1).astype(np.float32)
+    return np.concatenate([v.odds[used], p["word"][v.row[used]], chars], 1).astype(np.float32)
 
 
 def add_gradient(v: Vocabulary, used: np.ndarray, g_word, g_char, dx: np.ndarray) -> None:
     size = v.size[used]
     offset = np.cumsum(size) - size
     tri = v.tri[np.repeat(v.offset[used] - offset, size) + np.arange(size.sum())]
-    np.add.at(g_word, v.row[used], dx[:, 1 : 1 + DIM])
-    np.add.at(g_char, tri, np.repeat(dx[:, 1 + DIM :] / size[:, None], size, axis=0))
+    np.add.at(g_word, v.row[used], dx[:, ODDS : ODDS + DIM])
+    np.add.at(g_char, tri, np.repeat(dx[:, ODDS + DIM :] / size[:, None], size, axis=0))
 
 
 def platt(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
