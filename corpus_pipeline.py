@@ -1,5 +1,42 @@
-"""placeholder until its stages exist"""
-STAGES = []
+"""From raw documents to packed training sequences: toxicity, quality, near-duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns what stays of docs, with the columns of documents; the last returns
+the pieces of the packed sequences.  run() writes each stage's result to the shared folder and reads it again, so a
+lost executor costs the running stage's tasks and no more."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loomgraph.llm import minhash, packing, quality, toxicity
+from loomgraph.llm.common import Stages, table
+
+
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels").where(toxicity.remainder(3) != 1))
+
+
+def poor_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.only_good(docs, table(spark, sf_dir, "labels").where(toxicity.remainder(4) != 2))
+
+
+def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.one_of_each(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(docs))
+
+
+STAGES = [("toxicity", toxic_out), ("quality", poor_out), ("near-duplicates", copies_out), ("packing", packed)]
+
+#: Trained models and tokenizers can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stages = Stages(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stages.write(stage(spark, docs, sf_dir))
+    return docs

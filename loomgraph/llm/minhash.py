@@ -319,6 +319,20 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE,
     return out.unionByName(signs.where("doc_id is null").select("doc_id", "digest", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("text_copies"))).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"), "text_copies")
 
 
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+    """The rows of `docs` without those whose class has a lesser id, and without repeats of a row's id."""
+    stages = Stages(docs.sparkSession, "dedup")
+    found = stages.write(classes(docs, threshold, size).where("doc_id is not null").select("doc_id", "kept"))
+    repeats = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone = found.where("not kept").select("doc_id").distinct()
+    if repeats.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeats = stages.write(repeats)
+    once = docs.join(gone, "doc_id", "left_anti")
+    again = once.join(repeats, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.join(repeats, "doc_id", "left_anti").unionByName(again).select(*docs.columns)
+
+
 def op1_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stages, table
+from .common import table
 from .text import Words, mix, slices, words_of
 from .toxicity import remainder
 
@@ -200,30 +200,49 @@ def log_loss(z: np.ndarray, y: np.ndarray, temperature: float) -> float:
     return float(np.mean(np.logaddexp(0, z) - y * z))
 
 
-def score(docs: DataFrame, labels: DataFrame, column: str = "quality", threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, score, predicted for every row; labels: doc_id and column (0 or 1) of the rows to learn from."""
-    stages = Stages(docs.sparkSession, "quality")
+def train(docs: DataFrame, labels: DataFrame, column: str = "quality", fit_rows: int = FIT_ROWS):
+    """(word vectors, network or None, the score without a network); labels: doc_id and column (0 or 1) of the rows to
+    learn from."""
     y = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
-    rows = stages.write(documents_vectors(docs, word_vectors(docs)))
+    vectors = word_vectors(docs)
     chosen = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # so the broadcast has fit_rows rows at most
-    got = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    got = documents_vectors(sample, vectors).toPandas().drop_duplicates("doc_id").merge(chosen.toPandas(), on="doc_id").sort_values("doc_id")
     target = got["y"].to_numpy().astype(np.float32)
-    model, constant = None, float(target.mean()) if len(target) else 0.5
-    if 0 < target.sum() < len(target):
-        model = fit(np.stack([np.frombuffer(v, np.float32) for v in got["x"]]), target)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # a small network
+    if not 0 < target.sum() < len(target):
+        return vectors, None, float(target.mean()) if len(target) else 0.5
+    return vectors, fit(np.stack([np.frombuffer(v, np.float32) for v in got["x"]]), target), None
+
+
+def probabilities(trained, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    vectors, p, constant = trained
+    if p is None:
+        return np.full(len(bounds) - 1, constant)
+    z = logits(p, pooled(words_of(data, bounds, keep_case=True), vectors)).astype(np.float64)
+    return 1 / (1 + np.exp(-np.clip(z / float(p["temperature"][0]), -30, 30)))
+
+
+def score(docs: DataFrame, labels: DataFrame, column: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, score, predicted for every row."""
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, column))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = held.value
-        for batch in batches:
-            if p is None:
-                q = np.full(batch.num_rows, constant)
-            else:
-                x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(batch.num_rows, -1)
-                q = 1 / (1 + np.exp(-np.clip(logits(p, x).astype(np.float64) / float(p["temperature"][0]), -30, 30)))
-            yield pa.record_batch([batch.column(0), pa.array(q), pa.array((q >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
-
-    return rows.select("doc_id", "x").mapInArrow(run, "doc_id long, score double, predicted int")
+        for part, data, bounds in slices(batches, size=1 << 20):
+            q = probabilities(held.value, data, bounds)
+            yield pa.record_batch([part.column(0), pa.array(q), pa.array((q >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def only_good(docs: DataFrame, labels: DataFrame, column: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score at least the threshold, with all their columns; nothing is shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, column))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, bounds in slices(batches, size=1 << 20):
+            yield part.filter(pa.array(probabilities(held.value, data, bounds) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

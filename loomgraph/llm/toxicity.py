@@ -346,6 +346,14 @@ def train(docs: DataFrame, labels: DataFrame, column: str, fit_docs: int = FIT_D
     return (p, odds, scale), None
 
 
+def probabilities(model, constant: float | None, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    if model is None:
+        return np.full(len(bounds) - 1, constant)
+    p, odds, (slope, offset) = model
+    top = max_logits(p, words_of(data, bounds), odds).astype(np.float64)
+    return 1 / (1 + np.exp(-np.clip(slope * top + offset, -30, 30)))
+
+
 def score(docs: DataFrame, labels: DataFrame, column: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted for every row; labels: those to learn from."""
     model, constant = train(docs, labels, column)
@@ -353,17 +361,24 @@ def score(docs: DataFrame, labels: DataFrame, column: str = "toxic", threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, bounds in slices(batches):
-            if held.value is None:
-                q = np.full(part.num_rows, constant)
-            else:
-                p, odds, (slope, offset) = held.value
-                top = max_logits(p, words_of(data, bounds), odds).astype(np.float64)
-                q = 1 / (1 + np.exp(-np.clip(slope * top + offset, -30, 30)))
+            q = probabilities(held.value, constant, data, bounds)
             yield pa.record_batch([part.column(0), pa.array(q), pa.array((q >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, column: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score below the threshold, with all their columns; nothing is shuffled."""
+    model, constant = train(docs, labels, column)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, bounds in slices(batches):
+            yield part.filter(pa.array(probabilities(held.value, constant, data, bounds) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def remainder(of: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of))
 
