@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,15 +11,44 @@ from pyspark.sql import functions as F
 from ..plans.schema import GraphError, Schema
 
 
+class Tables(Mapping):
+    """Tables by name, each made when it is first asked for: a query reads (and plans) those that it needs."""
+
+    def __init__(self, makers: Mapping):
+        self._makers = dict(makers._makers) if isinstance(makers, Tables) else dict(makers)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        t = self._makers[name]
+        if not isinstance(t, DataFrame):
+            t = self._makers[name] = t()
+        return t
+
+    def __iter__(self):
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+    def __or__(self, other: Mapping) -> Tables:
+        return Tables(self._makers | Tables(other)._makers)
+
+    def each(self, change: Callable[[str, DataFrame], DataFrame]) -> Tables:
+        return Tables({k: (lambda k=k: change(k, self[k])) for k in self._makers})
+
+
 @dataclass(frozen=True)
 class Graph:
     """nodes: a typed table for each node type, with node_id.  edges: one for each edge type, with from_id and to_id.
     embeddings: for each node type node_id, embedding."""
 
     schema: Schema
-    nodes: dict[str, DataFrame] = field(default_factory=dict)
-    edges: dict[str, DataFrame] = field(default_factory=dict)
-    embeddings: dict[str, DataFrame] = field(default_factory=dict)
+    nodes: Mapping[str, DataFrame] = field(default_factory=dict)
+    edges: Mapping[str, DataFrame] = field(default_factory=dict)
+    embeddings: Mapping[str, DataFrame] = field(default_factory=dict)
+
+    def __post_init__(self):
+        for name in ("nodes", "edges", "embeddings"):
+            object.__setattr__(self, name, Tables(getattr(self, name)))
 
     # -- scans
 
@@ -125,8 +155,8 @@ class Graph:
         drop = lambda t, c: t.join(gone.withColumnRenamed("node_id", c), c, "left_anti").select(*t.columns)
         return replace(
             self, nodes=self.nodes | {node_type: drop(self.nodes[node_type], "node_id")},
-            edges={k: drop(drop(e, "from_id"), "to_id") for k, e in self.edges.items()},
-            embeddings={k: drop(e, "node_id") if k == node_type else e for k, e in self.embeddings.items()},
+            edges=self.edges.each(lambda _, e: drop(drop(e, "from_id"), "to_id")),
+            embeddings=self.embeddings.each(lambda k, e: drop(e, "node_id") if k == node_type else e),
         )
 
     def set_embeddings(self, node_type: str, rows: DataFrame) -> Graph:
@@ -153,7 +183,7 @@ class Graph:
         def widen(t: DataFrame, properties: dict) -> DataFrame:
             return t.withColumns({k: F.lit(None).cast(COLUMNS[p.type]) for k, p in properties.items() if k not in t.columns})
 
-        return replace(self, schema=schema, nodes={k: widen(t, schema.node_types[k].properties) for k, t in self.nodes.items()}, edges={k: widen(t, schema.edge_types[k].properties) for k, t in self.edges.items()})
+        return replace(self, schema=schema, nodes=self.nodes.each(lambda k, t: widen(t, schema.node_types[k].properties)), edges=self.edges.each(lambda k, t: widen(t, schema.edge_types[k].properties)))
 
     # -- batches
 

@@ -108,7 +108,7 @@ class Registry:
             return Graph(schema)
         now = json.loads(self.files.read(f"{graph_id}/CURRENT"))
         base = f"{self.root}/{graph_id}/v={now['version']}"
-        return Graph(schema, *({n: self.spark.read.parquet(f"{base}/{kind}/{n}") for n in now["tables"].get(kind, [])} for kind in KINDS))
+        return Graph(schema, *({n: (lambda kind=kind, n=n: self.spark.read.parquet(f"{base}/{kind}/{n}")) for n in now["tables"].get(kind, [])} for kind in KINDS))
 
     def replace_schema(self, graph_id: str, schema: Schema) -> Graph:
         """A schema that breaks stored data is refused and nothing changes."""

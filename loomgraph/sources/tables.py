@@ -53,20 +53,20 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Lazily: only the tables and columns that a query asks for are read."""
     t = lambda name: read(spark, sf_dir, name)
     nodes = {
-        "Region": t("region").select(key("r", "r_regionkey").alias("node_id"), F.col("r_name").alias("name")),
-        "Nation": t("nation").select(key("n", "n_nationkey").alias("node_id"), F.col("n_name").alias("name")),
-        "Customer": t("customer").select(key("c", "c_custkey").alias("node_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("acctbal"), F.lit("standard").alias("tier")),
-        "Supplier": t("supplier").select(key("s", "s_suppkey").alias("node_id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("acctbal"), (F.col("s_acctbal") >= 0).alias("solvent")),
-        "Part": t("part").select(key("p", "p_partkey").alias("node_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_size").cast("long").alias("size")),
-        "Order": t("orders").select(key("o", "o_orderkey").alias("node_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("placed_at")),
-        "Item": t("embeddings").select(key("i", "vec_id").alias("node_id"), F.col("label").cast("long").alias("label")),
+        "Region": lambda: t("region").select(key("r", "r_regionkey").alias("node_id"), F.col("r_name").alias("name")),
+        "Nation": lambda: t("nation").select(key("n", "n_nationkey").alias("node_id"), F.col("n_name").alias("name")),
+        "Customer": lambda: t("customer").select(key("c", "c_custkey").alias("node_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("acctbal"), F.lit("standard").alias("tier")),
+        "Supplier": lambda: t("supplier").select(key("s", "s_suppkey").alias("node_id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("acctbal"), (F.col("s_acctbal") >= 0).alias("solvent")),
+        "Part": lambda: t("part").select(key("p", "p_partkey").alias("node_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_size").cast("long").alias("size")),
+        "Order": lambda: t("orders").select(key("o", "o_orderkey").alias("node_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("placed_at")),
+        "Item": lambda: t("embeddings").select(key("i", "vec_id").alias("node_id"), F.col("label").cast("long").alias("label")),
     }
     edges = {
-        "NATION_IN": t("nation").select(key("n", "n_nationkey").alias("from_id"), key("r", "n_regionkey").alias("to_id")),
-        "LIVES_IN": t("customer").select(key("c", "c_custkey").alias("from_id"), key("n", "c_nationkey").alias("to_id")),
-        "BASED_IN": t("supplier").select(key("s", "s_suppkey").alias("from_id"), key("n", "s_nationkey").alias("to_id")),
-        "PLACED": t("orders").select(key("c", "o_custkey").alias("from_id"), key("o", "o_orderkey").alias("to_id")),
-        "CONTAINS": t("lineitem").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("quantity"), F.max("l_discount").alias("discount")).select(key("o", "l_orderkey").alias("from_id"), key("p", "l_partkey").alias("to_id"), "quantity", "discount"),
-        "SUPPLIES": t("lineitem").select(key("s", "l_suppkey").alias("from_id"), key("p", "l_partkey").alias("to_id")).distinct(),
+        "NATION_IN": lambda: t("nation").select(key("n", "n_nationkey").alias("from_id"), key("r", "n_regionkey").alias("to_id")),
+        "LIVES_IN": lambda: t("customer").select(key("c", "c_custkey").alias("from_id"), key("n", "c_nationkey").alias("to_id")),
+        "BASED_IN": lambda: t("supplier").select(key("s", "s_suppkey").alias("from_id"), key("n", "s_nationkey").alias("to_id")),
+        "PLACED": lambda: t("orders").select(key("c", "o_custkey").alias("from_id"), key("o", "o_orderkey").alias("to_id")),
+        "CONTAINS": lambda: t("lineitem").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("quantity"), F.max("l_discount").alias("discount")).select(key("o", "l_orderkey").alias("from_id"), key("p", "l_partkey").alias("to_id"), "quantity", "discount"),
+        "SUPPLIES": lambda: t("lineitem").select(key("s", "l_suppkey").alias("from_id"), key("p", "l_partkey").alias("to_id")).distinct(),
     }
-    return Graph(SCHEMA, nodes, edges, {"Item": t("embeddings").select(key("i", "vec_id").alias("node_id"), "embedding")})
+    return Graph(SCHEMA, nodes, edges, {"Item": lambda: t("embeddings").select(key("i", "vec_id").alias("node_id"), "embedding")})
