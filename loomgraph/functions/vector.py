@@ -37,7 +37,7 @@ def l2_norm(a: Column | str) -> Column:
 def cosine(a: Column | str, b: Column | str, epsilon: float = EPSILON_F32) -> Column:
     """0 where a norm is (nearly) 0; never beyond -1 and 1."""
     norms = l2_norm(a) * l2_norm(b)
-    return F.when(norms < epsilon, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(a, b), norms))))
+    return F.when(dot(a, b).isNotNull(), F.when(norms < epsilon, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(a, b), norms)))))
 
 
 def euclidean(a: Column | str, b: Column | str) -> Column:
