@@ -12,8 +12,8 @@ an empty table gives no pieces; no other columns are read."""
 
 from __future__ import annotations
 
+import gc
 import os
-import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Stages, placed, running_total, skew_join, table
+from .text import slices, words_of
 
 LENGTH, END_ID = 4096, 2
 #: Distinct words whose ids a worker keeps in each of two generations.
 MEMO = 300_000
-#: Text that isn't put together from its words: rare white space, a sigma (which lower-casing by words would treat by
-#: its place), and special tokens.
-_WHOLE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u03a3]|<\\|")
+#: Characters whose words are encoded as a whole: rare white space, and a sigma, which lower-casing treats by its place.
+_WHOLE = regex.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\u03a3]")
 #: Fixed value: how this kind of vocabulary splits text.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -43,81 +43,125 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """ids of texts as little-endian unsigned 32-bit bytes.  A text's ids are those of its words in turn, and a word's
-    those of its pieces (white space is dropped by this kind of vocabulary), so each distinct one is encoded once
-    while it stays in the memo."""
+    """ids of texts.  A text's ids are those of its words in turn, and a word's those of its pieces (white space is
+    dropped by this kind of vocabulary): so each distinct word of a slice is looked up once, and each distinct piece
+    is encoded once while it stays in the memo.  Words are told apart by 64-bit hashes that leave A-Z's case out."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _run(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _recall(self, wanted: set[str]) -> set[str]:
-        """Brings back what the older generation knows; returns the rest."""
-        known, old = self.new, self.old
-        again = wanted & old.keys() if len(old) < len(wanted) else {w for w in wanted if w in old}
-        for w in again:
-            known[w] = old[w]
-        return wanted - again
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        words: list[tuple[int, list[str]]] = []
-        known, missing = self.new, set()
-        for i, text in enumerate(texts):
-            if _WHOLE.search(text):
-                out[i] = self._run([text])[0]
-                continue
-            own = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
-            words.append((i, own))
-            missing.update(own)
-        missing = self._recall(missing - known.keys())
-        split = {w: _PIECES.findall(w) for w in missing if not w.isalpha()}
-        fresh = {w for w in missing if w not in split}
-        fresh.update(x for xs in split.values() for x in xs)
-        todo = list(self._recall(fresh - known.keys()))
-        for k in range(0, len(todo), 20_000):
-            part = todo[k : k + 20_000]
-            known.update(zip(part, self._run(part), strict=True))
-        for w, xs in split.items():
-            known[w] = b"".join([known[x] for x in xs])
-        for i, own in words:
-            out[i] = b"".join([known[w] for w in own])
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.end = Tokenizer.from_file(path), array("I", [end_id]).tobytes()
+        # For pieces, which are in normal form and split already.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.words: tuple[dict[int, bytes], dict[int, bytes]] = {}, {}  # by generation
+        self.pieces: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+
+    def run(self, texts: list[str], plain: bool = False) -> list[bytes]:
+        encoder = self.plain if plain else self.tokenizer
+        return [array("I", e.ids).tobytes() for i in range(0, len(texts), 20_000) for e in encoder.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
+
+    def fresh(self, words: list[str]) -> list[bytes]:
+        """ids of words that the memo doesn't know."""
+        split: list[list[str]] = []
+        known, old = self.pieces
+        missing, whole = {}, []
+        for w in words:
+            if w.isascii() or not _WHOLE.search(w):
+                low = (w if w.isascii() else unicodedata.normalize("NFC", w)).lower()
+                own = [low] if low.isalpha() else _PIECES.findall(low) if w.isprintable() else None
+            else:
+                own = None
+            if own is None:  # as a whole; what it holds is no white space to us
+                whole.append(w)
+                own = []
+            for x in own:
+                if x not in known:
+                    if x in old:
+                        known[x] = old[x]
+                    else:
+                        missing[x] = None
+            split.append(own)
+        known.update(zip(missing, self.run(list(missing), plain=True), strict=True))
+        rest = iter(self.run(whole))
+        is_whole = iter(whole)
+        want = next(is_whole, None)
+        out = []
+        for w, own in zip(words, split, strict=True):
+            if not own and w is want:
+                out.append(next(rest))
+                want = next(is_whole, None)
+            else:
+                out.append(known[own[0]] if len(own) == 1 else b"".join([known[x] for x in own]))
         if len(known) > MEMO:
-            self.old, self.new = known, {}
+            self.pieces = {}, known
         return out
 
+    def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the texts side by side, each with the end id, and where each text's begin."""
+        if b"<|" in data.tobytes():  # special tokens are told apart by case: each text as a whole
+            got = [x + self.end for x in self.run([data[a:b].tobytes().decode() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])]
+            return np.frombuffer(b"".join(got), "<u4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in got])]).astype(np.int64)
+        w = words_of(data, bounds)
+        order = np.argsort(w.hash, kind="stable")
+        ranked = w.hash[order]
+        new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, bool)
+        first = order[new]
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        keys = ranked[new].tolist()
+        known, old = self.words
+        got = list(map(known.get, keys))
+        missing = []
+        for i in [i for i, g in enumerate(got) if g is None]:
+            if (g := old.get(keys[i])) is None:
+                missing.append(i)
+            else:
+                got[i] = known[keys[i]] = g
+        if missing:
+            raw = data.tobytes()
+            at = first[missing]
+            fresh = self.fresh([raw[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
+            for i, g in zip(missing, fresh, strict=True):
+                got[i] = known[keys[i]] = g
+        if len(known) > MEMO:
+            self.words = {}, known
+        got.append(self.end)
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        flat = np.frombuffer(b"".join(got), "<u4")
+        start = np.cumsum(size) - size
+        # The words of all texts in turn, with the end (the last entry) after each text.
+        n = np.diff(w.first)
+        edge = np.concatenate([[0], np.cumsum(n + 1)])
+        entry = np.empty(edge[-1], np.int64)
+        inner = np.ones(edge[-1], bool)
+        inner[edge[1:] - 1] = False
+        entry[inner], entry[edge[1:] - 1] = of, len(got) - 1
+        count = size[entry]
+        stop = np.cumsum(count)
+        ids = flat[np.repeat(start[entry] - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)]
+        return ids, np.concatenate([[0], stop[edge[1:] - 1]]).astype(np.int64)
+
 
 def tokenize(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """doc_id, source, ids (binary, with the end id), doc_tokens for every row."""
+    """doc_id, source, ids (binary, little-endian unsigned 32 bits, with the end id), doc_tokens for every row."""
     path = path or default_vocabulary()
-    end = np.array([end_id], "<u4").tobytes()
     schema = "doc_id long, source string, ids binary, doc_tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        for batch in batches:
-            for part in cut(batch):
-                got = [x + end for x in encoder.encode([t or "" for t in part.column(2).to_pylist()])]
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(got, pa.binary()), pa.array([len(x) // 4 for x in got], pa.int64())], names=["doc_id", "source", "ids", "doc_tokens"])
+        encoder = Encoder(path, end_id)
+        gc.freeze()
+        gc.disable()  # lists of words come and go, and hold no cycles
+        for part, data, bounds in slices(batches):
+            ids, edge = encoder.encode(data, bounds)
+            column = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((edge * 4).tobytes()), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
+            yield pa.record_batch([part.column(0), part.column(1), column, pa.array(np.diff(edge))], names=["doc_id", "source", "ids", "doc_tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def cut(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of about `size` bytes of text."""
-    from .text import slices
-
-    for part, _, _ in slices(iter([batch]), batch.schema.field(2).name, size):
-        yield part
-
-
 #: Sources that a broadcast of their quanta takes; more go through a join that scatters hot ones.
 BROADCAST_SOURCES = 10_000
 
