@@ -9,6 +9,7 @@ every score is the training share (0.5 without any); other columns are not read.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -237,11 +238,8 @@ def frequencies(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     rows = labelled.select("text", "y").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
     counts, n = np.zeros(2 * FREQ, np.int64), np.zeros(2, np.int64)
-    for k, v in zip(rows["k"].to_numpy(), rows["n"].to_numpy(), strict=True):
-        if k < 0:
-            n[k + 2] = v
-        else:
-            counts[k] = v
+    k, v = rows["k"].to_numpy(), rows["n"].to_numpy()
+    counts[k[k >= 0]], n[k[k < 0] + 2] = v[k >= 0], v[k < 0]
     return counts.reshape(2, FREQ), n
 
 
@@ -341,9 +339,20 @@ def train(docs: DataFrame, labels: DataFrame, column: str, fit_docs: int = FIT_D
     odds = log_odds(counts, n)
     best = y.withColumn("_h", F.xxhash64("doc_id"))
     chosen = best.where("y = 1").orderBy("_h", "doc_id").limit(fit_docs).union(best.where("y = 0").orderBy("_h", "doc_id").limit(fit_docs)).select("doc_id", "y")
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").toPandas().sort_values("doc_id", kind="stable")
-    p, scale = fit(list(rows["text"]), rows["y"].to_numpy(), counts, n)
-    return (p, odds, scale), None
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    held = docs.sparkSession.sparkContext.broadcast((counts, n))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[str, int]] = {}
+        for batch in batches:
+            found.update(zip(batch.column(0).to_pylist(), zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True), strict=True))
+        if found:
+            own = [found[k] for k in sorted(found)]
+            yield pa.record_batch([pa.array([pickle.dumps(fit([t for t, _ in own], np.array([c for _, c in own]), *held.value))], pa.binary())], names=["model"])
+
+    # One task fits the network, on 2 * fit_docs texts at most; an executor has the room for them that a driver may not.
+    p, scale = pickle.loads(rows.select("doc_id", "text", "y").repartition(1).mapInArrow(learn, "model binary").head()[0])
+    return (p, log_odds(counts, n), scale), None
 
 
 def probabilities(model, constant: float | None, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
