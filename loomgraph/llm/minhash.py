@@ -170,7 +170,7 @@ class Heads:
 
 
 def signed(docs: DataFrame, id_: str, text: str, size: int) -> DataFrame:
-    """doc_id, digest of the text, bands (null without shingles)."""
+    """doc_id, digest of the text, bands (both null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, bounds in slices(batches, size=1 << 20):
@@ -178,7 +178,7 @@ def signed(docs: DataFrame, id_: str, text: str, size: int) -> DataFrame:
             h, t, weight = weighted(*shingles(w, size))
             keys = band_keys(signatures(h, t, weight, part.num_rows))
             full = np.diff(w.first) > 0
-            digest = [hashlib.blake2b(data[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            digest = [hashlib.blake2b(data[a:b].tobytes(), digest_size=16).digest() if f else None for a, b, f in zip(bounds[:-1], bounds[1:], full, strict=True)]
             yield pa.record_batch([part.column(0), pa.array(digest, pa.binary()), pa.array([k.tobytes() if f else None for k, f in zip(keys, full, strict=True)], pa.binary())], names=["doc_id", "digest", "bands"])
 
     return docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, digest binary, bands binary")
@@ -277,7 +277,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE,
     spark = docs.sparkSession
     stages = Stages(spark, "minhash")
     signs = stages.write(signed(docs, id_, text, size))
-    texts = stages.write(signs.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("text_copies")))
+    texts = stages.write(signs.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("text_copies")))
     full = signs.where("bands is not null and doc_id is not null")
     nodes = stages.write(full.join(texts.select(F.col("node").alias("doc_id"), F.col("digest").alias("_d")), "doc_id").where("digest = _d").groupBy(F.col("doc_id").alias("node")).agg(F.min("bands").alias("bands")))
     every = exploded(nodes)
@@ -316,7 +316,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE,
         final = stages.write(components(stages, star.union(found)))
     named = texts.join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"), "text_copies")
     out = skew_join(signs.where("doc_id is not null").select("doc_id", "digest"), named, "digest", "text_copies", max(1, total // BANDS), scatter=["doc_id"])
-    return out.unionByName(signs.where("doc_id is null").select("doc_id", "digest", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("text_copies"))).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"), "text_copies")
+    out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("text_copies", F.lit(1).cast("long")).alias("text_copies"))
+    out = out.unionByName(signs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("text_copies")))
+    return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"), "text_copies")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:

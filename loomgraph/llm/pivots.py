@@ -1,6 +1,6 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Pivots are a bounded sample of the vectors.  Each vector is described by its NEAREST pivots in order, and stands in the
+Pivots are a bounded sample of the vectors, less those close to another pivot.  Each vector is described by its NEAREST pivots in order, and stands in the
 inverted lists of those pivots.  Two vectors of a list are candidates if they share at least SHARED pivots; the pair is
 taken in the list of the first pivot that they share, so once; then their cosine is computed in double precision.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import Stages, components, skew_join, table
 
 COSINE = 0.98
-NEAREST, SHARED = 8, 2
+NEAREST, SHARED = 10, 2
 #: One pivot for so many vectors; not fewer than LEAST nor more than MOST of them.  They are broadcast (MOST vectors).
 PER_PIVOT, LEAST, MOST = 64, 64, 4096
 #: Vectors in each of the two blocks that one task compares.
@@ -39,6 +39,18 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def apart(x: np.ndarray, most: float = 0.9) -> np.ndarray:
+    """The rows whose cosine with each row kept before is below `most`: pivots within one group of near copies would
+    rank almost at random for its members, and split them among lists."""
+    kept = np.empty_like(x)
+    n = 0
+    for v in x:
+        if not n or (kept[:n] @ v).max() < most:
+            kept[n] = v
+            n += 1
+    return kept[:n]
+
+
 def nearest(x: np.ndarray, pivots: np.ndarray, k: int = NEAREST) -> np.ndarray:
     """(n, k) places of the nearest pivots by angle, nearest first."""
     k = min(k, len(pivots))
@@ -178,7 +190,7 @@ def near_duplicates(vectors: DataFrame, id_: str = "vec_id", vector: str = "embe
     by_dim: dict[int, list[bytes]] = {}
     for r in sample:
         by_dim.setdefault(len(r["vector"]) // 8, []).append(bytes(r["vector"]))
-    pivots = {d: unit(np.frombuffer(b"".join(v), np.float64).reshape(len(v), d)) for d, v in by_dim.items() if len(v) >= 2 * NEAREST}
+    pivots = {d: apart(unit(np.frombuffer(b"".join(v), np.float64).reshape(len(v), d))) for d, v in by_dim.items()}
     listed = stages.write(lists(nodes, pivots))
     sizes = listed.groupBy("list").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     inside = skew_join(listed, sizes, "list", "n", max(1, total * NEAREST), scatter=["node", "pivot"]).where("n is not null")
