@@ -212,7 +212,7 @@ def max_logits(p, words, odds: np.ndarray, chunk: int = 8192) -> np.ndarray:
 # --- fitting
 
 
-def log_odds(counts: np.ndarray, n: np.ndarray, strength: float = 10.0) -> np.ndarray:
+def log_odds(counts: np.ndarray, n: np.ndarray, strength: float = 3.0) -> np.ndarray:
     """counts: (2, FREQ) texts of each class with the word; n: texts of each class.  Scaled to about one."""
     share = n / n.sum()
     up, down = counts[1] + strength * share[1], counts[0] + strength * share[0]
