@@ -26,6 +26,8 @@ HIDDEN, DIM, ROWS, ATTEND = 8, 6, 4096, 8
 FREQ = 1 << 19
 STEMS = (4, 6, 8)
 ODDS = 1 + len(STEMS)
+#: Entries of that table in one row on the way to the driver.
+PACK = 1 << 15
 #: Labelled rows of each class that the network is fitted on at most (chosen by a hash of their ids).
 FIT_DOCS = 2000
 #: Windows that one training text gives: those of highest log-odds, and others by chance.
@@ -236,10 +238,25 @@ def frequencies(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         keys = np.concatenate([at, [-2, -1]])
         yield pa.record_batch([pa.array(keys), pa.array(np.concatenate([counts[at], n]))], names=["k", "n"])
 
-    rows = labelled.select("text", "y").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            k, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for c in np.unique(k // PACK):
+                own = k // PACK == c
+                np.add.at(held.setdefault(int(c), np.zeros(PACK, np.int64)), k[own] % PACK, v[own])
+        yield pa.record_batch([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["chunk", "counts"])
+
+    # Tables are put together by executors, so that the driver gets one row for each PACK of their entries.
+    sums = labelled.select("text", "y").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    packed = sums.repartition(F.floor(F.col("k") / PACK)).mapInArrow(dense, "chunk long, counts binary").collect()
     counts, n = np.zeros(2 * FREQ, np.int64), np.zeros(2, np.int64)
-    k, v = rows["k"].to_numpy(), rows["n"].to_numpy()
-    counts[k[k >= 0]], n[k[k < 0] + 2] = v[k >= 0], v[k < 0]
+    for r in packed:
+        own = np.frombuffer(r["counts"], np.int64)
+        if r["chunk"] < 0:
+            n += own[-2:]
+        else:
+            counts[r["chunk"] * PACK : (r["chunk"] + 1) * PACK] += own
     return counts.reshape(2, FREQ), n
 
 
