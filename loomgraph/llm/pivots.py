@@ -215,4 +215,11 @@ def op2_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_pivot_dedup": op2_pivot_dedup}
-SQL: dict[str, str] = {}
+SQL = {
+    "op2_pivot_dedup": f"""with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null and len(embedding) > 0
+and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= {COSINE}),
+reach(node, c) as (select vec_id, vec_id from embeddings union select l.a, r.c from reach r join links l on l.b = r.node),
+comps as (select node, min(c) as component_id from reach group by 1), counts as (select a, count(*) as n from links group by 1)
+select e.vec_id, coalesce(n, 0)::bigint as n_links, component_id, e.vec_id = component_id as kept from embeddings e join comps on node = e.vec_id left join counts on a = e.vec_id"""
+}

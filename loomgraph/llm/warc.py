@@ -239,8 +239,14 @@ def read_archives(files: DataFrame) -> DataFrame:
 
 def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     stages = Stages(spark, "warc")
-    return read_archives(stages.write(archives(table(spark, sf_dir, "pages")), codec="none"))
+    out = read_archives(stages.write(archives(table(spark, sf_dir, "pages")), codec="none"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {"op9_arc_to_warc": op9_arc_to_warc}
-SQL: dict[str, str] = {}
+SQL = {
+    "op9_arc_to_warc": """with p as (select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as h from pages), m as (select h, max(page_id) as of_id from p group by 1),
+b as (select p.*, of_id, array_to_string(list_transform(range(1, 41), lambda i: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', p.h[i])]), '') as bits from p join m on p.h = m.h)
+select page_id, n::bigint as payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * bits[5 * i + 1]::int + 8 * bits[5 * i + 2]::int + 4 * bits[5 * i + 3]::int + 2 * bits[5 * i + 4]::int + bits[5 * i + 5]::int]), '') as payload_digest,
+case when page_id = of_id then 'response' else 'revisit' end as record_type, case when page_id <> of_id then of_id end as refers_to from b"""
+}
