@@ -1,6 +1,7 @@
 """Every query against its SQL, at the smallest scale."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from loomgraph import queries
@@ -17,7 +18,7 @@ def db(small):
 
 
 def rows(df):
-    fix = lambda x: None if x is None or x != x else round(float(x), 6) if isinstance(x, float) else x.item() if hasattr(x, "item") else x
+    fix = lambda x: None if pd.isna(x) else round(float(x), 6) if isinstance(x, float) else x.item() if hasattr(x, "item") else x
     df = df[sorted(df.columns)].astype(object)
     return sorted((tuple(fix(x) for x in r) for r in df.itertuples(index=False)), key=repr)
 
