@@ -72,6 +72,16 @@ def _segment(data: np.ndarray, inner: np.ndarray, keep_case: bool) -> tuple[np.n
     return start, end, mix(h)
 
 
+def hash_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of short spans, as _segment gives them for words."""
+    up, sums = _powers(1)[0], np.zeros(len(start), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(int((end - start).max()) if len(start) else 0):
+            own = start + k < end
+            sums[own] += _TABLE_LOWER[data[start[own] + k]] * up[k]
+        return mix(sums + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
 def words_of(data: np.ndarray, bounds: np.ndarray, keep_case: bool = False) -> Words:
     """data: bytes of texts side by side; bounds: where each begins, and the end.  No word spans two texts."""
     starts, ends, hashes = [], [], []

@@ -3,7 +3,8 @@ numpy; a text's score comes from its most toxic window, and windows overlap and
 
 Word inputs are a class log-odds (document frequencies over all labelled training rows) and a hashed vector; character
 inputs are the log-odds of the word's first bytes (stems, so that unseen forms are known) and the mean of hashed
-trigram vectors.  The network itself is fitted on at most FIT_DOCS labelled rows.  Null and
+trigram vectors.  White space alone parts words; what it leaves longer than LONG bytes is taken apart by parts_of().
+The network itself is fitted on at most FIT_DOCS labelled rows.  Null and
 empty texts get the score of a window without words; repeated rows get equal scores; without labels of both classes
 every score is the training share (0.5 without any); other columns are not read."""
 
@@ -18,13 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .text import LOWER, mix, slices, words_of
+from .text import LOWER, SEGMENT, Words, hash_of, mix, slices, words_of
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, DIM, ROWS, ATTEND = 8, 6, 4096, 8
 #: Rows of the table of document frequencies by hashed word or stem; bytes of the stems.
 FREQ = 1 << 19
 STEMS = (4, 6, 8)
+#: Bytes that a word has at most before it is taken apart.
+LONG = 64
 ODDS = 1 + len(STEMS)
 #: Entries of that table in one row on the way to the driver.
 PACK = 1 << 15
@@ -131,6 +134,70 @@ def backward(p, x: np.ndarray, keep: dict, dlogit: np.ndarray) -> tuple[dict[str
 # --- inputs
 
 
+def parts_of(data: np.ndarray, bounds: np.ndarray) -> Words:
+    """Words of texts, those of more than LONG bytes as overlapping parts, so that nothing depends on where a text
+    without white space happens to be cut.
+
+    Such a word falls into runs of ASCII signs and Unicode spaces, of letters of up to two bytes, and of characters of
+    three and more (scripts without spaces among them).  In the last, each character and the next are a part; other
+    runs over LONG bytes give a part of that size every LONG / 2 bytes."""
+    w = words_of(data, bounds)
+    size = w.end - w.start
+    if not len(size) or size.max() <= LONG:
+        return w
+    starts, ends, of = [], [], []
+    long = np.flatnonzero(size > LONG)
+    for i in long.tolist():
+        a, b = int(w.start[i]), int(w.end[i])
+        while a < b:  # a stretch at a time; the next one begins with the character that this one ends with
+            stop = b if b - a <= SEGMENT else a + SEGMENT - int(np.argmax((data[a + SEGMENT - 4 : a + SEGMENT + 1] & 0xC0)[::-1] != 0x80))
+            s, e, last = _parts(data[a:stop])
+            starts.append(s + a), ends.append(e + a), of.append(np.full(len(s), i))
+            a = b if stop == b else max(a + last, a + 1)
+    keep = np.flatnonzero(size <= LONG)
+    start, end = np.concatenate([w.start[keep], *starts]), np.concatenate([w.end[keep], *ends])
+    of = np.concatenate([keep, *of])
+    order = np.argsort(of, kind="stable")
+    start, end, of = start[order], end[order], of[order]
+    hashes = np.empty(len(of), np.uint64)
+    cut = size[of] > LONG
+    hashes[~cut], hashes[cut] = w.hash[of[~cut]], hash_of(data, start[cut], end[cut])
+    return Words(data, start, end, hashes, np.searchsorted(of, w.first))
+
+
+def _parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Starts and ends of the parts of one word, and where its last run's last part starts."""
+    at = np.flatnonzero((x & 0xC0) != 0x80)  # where characters begin
+    at = at if len(at) and at[0] == 0 else np.concatenate([[0], at])
+    edge = np.append(at, len(x))
+    lead, nth = x[at], lambda k: x[np.minimum(at + k, len(x) - 1)]
+    kind = np.where(lead >= 0xE0, 2, 1)
+    letter = ((lead | 32) >= 97) & ((lead | 32) <= 122) | (lead >= 48) & (lead <= 57)
+    two, three = nth(1), nth(2)
+    space = (lead == 0xC2) & ((two == 0xA0) | (two == 0x85)) | (lead == 0xE3) & (two == 0x80) & (three == 0x80) | (lead == 0xE1) & (two == 0x9A) & (three == 0x80)
+    space |= (lead == 0xE2) & ((two == 0x80) & ((three <= 0x8B) | (three == 0xA8) | (three == 0xA9) | (three == 0xAF)) | (two == 0x81) & (three == 0x9F))
+    kind[space | (lead < 128) & ~letter] = 0
+    first = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
+    stop = np.append(first[1:], len(at))
+    # Of wide characters: each with the next; a single one alone.
+    wide = np.flatnonzero(kind == 2)
+    run_stop = np.repeat(stop, stop - first)
+    alone = np.repeat(stop - first == 1, stop - first)
+    wide = wide[(wide + 1 < run_stop[wide]) | alone[wide]]
+    s, e = [at[wide]], [edge[np.minimum(wide + 2, run_stop[wide])]]
+    # Of other runs: stretches of LONG bytes that overlap by half, cut where characters begin.
+    first, stop = first[kind[first] < 2], stop[kind[first] < 2]
+    lo, hi = edge[first], edge[stop]
+    count = np.maximum(1, -(-(hi - lo - LONG // 2) // (LONG // 2)))
+    k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    lo, hi = np.repeat(lo, count) + k * (LONG // 2), np.repeat(hi, count)
+    begins = lambda v: edge[np.searchsorted(edge, v, "right") - 1]
+    s.append(begins(lo)), e.append(begins(np.minimum(lo + LONG, hi)))
+    start, end = np.concatenate(s), np.concatenate(e)
+    order = np.lexsort((end, start))
+    return start[order], end[order], int(start.max())
+
+
 def entries(w, at: np.ndarray) -> np.ndarray:
     """(words, ODDS) places in the table of frequencies: of the words at the given places, and of their stems (the
     whole word where it is shorter)."""
@@ -154,7 +221,7 @@ class Vocabulary:
         uniq, first, self.of = np.unique(words.hash, return_index=True, return_inverse=True)
         self.row = (mix(uniq) & np.uint64(ROWS - 1)).astype(np.int64)
         self.odds = odds[entries(words, first)]
-        start, size = words.start[first], np.minimum(words.end[first] - words.start[first], 64)
+        start, size = words.start[first], words.end[first] - words.start[first]
         self.size = size + 1  # with a mark at each end: as many trigrams as bytes, and one
         self.offset = np.cumsum(self.size) - self.size
         inner = np.arange(self.size.sum()) - np.repeat(self.offset, self.size)
@@ -228,7 +295,7 @@ def frequencies(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         counts, n = np.zeros(2 * FREQ, np.int64), np.zeros(2, np.int64)
         for part, data, bounds in slices(batches):
             y = np.asarray(part.column(1).to_numpy(zero_copy_only=False)).astype(np.int64)
-            w = words_of(data, bounds)
+            w = parts_of(data, bounds)
             doc = np.repeat(np.arange(len(y)), np.diff(w.first))
             _, one = np.unique(doc * FREQ + (w.hash & np.uint64(FREQ - 1)).astype(np.int64), return_index=True)
             key = np.unique((doc[one, None] * FREQ + entries(w, one)).ravel())
@@ -269,18 +336,24 @@ def fit(texts: list[str], y: np.ndarray, counts: np.ndarray, n: np.ndarray, seed
     without = np.stack([log_odds(np.maximum(counts - np.array([[c == 0], [c == 1]]), 0), n) for c in (0, 1)])
     held = rng.random(len(y)) < 0.25  # for the calibration
     picked: list[bytes] = []
-    target = []
+    spans, target, at = [], [], 0
     for i in np.flatnonzero(~held):  # windows as texts of their own, so that no more than they need is held
         data = np.frombuffer(texts[i].encode(), np.uint8)
-        w = words_of(data, np.array([0, len(data)]))
+        w = parts_of(data, np.array([0, len(data)]))
         start, size, _ = windows(w.first)
         heat = odds[entries(w, np.arange(len(w.hash)))].max(1)
         hot = np.argsort([-(heat[a : a + n].max() if n else 0) for a, n in zip(start, size, strict=True)], kind="stable")
         own = list(hot[:TOP]) + (list(rng.choice(hot[TOP:], min(OTHERS, len(hot) - TOP), replace=False)) if not y[i] and len(hot) > TOP else [])
-        picked += [data[w.start[start[k]] : w.end[start[k] + size[k] - 1]].tobytes() if size[k] else b"" for k in own]
+        for k in own:
+            a, b = start[k], start[k] + size[k]
+            lo, hi = (int(w.start[a]), int(w.end[a:b].max())) if size[k] else (0, 0)
+            spans.append((w.start[a:b] - lo + at, w.end[a:b] - lo + at, w.hash[a:b]))
+            picked.append(data[lo:hi].tobytes())
+            at += hi - lo
         target += [float(y[i])] * len(own)
     target = np.array(target, np.float32)
-    words = words_of(np.frombuffer(b"".join(picked), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in picked])]))
+    cat = [np.concatenate(x) if x else np.empty(0, t) for x, t in zip(list(zip(*spans, strict=True)) or [()] * 3, (np.int64, np.int64, np.uint64), strict=True)]
+    words = Words(np.frombuffer(b"".join(picked), np.uint8), *cat, np.concatenate([[0], np.cumsum([len(x[0]) for x in spans])]).astype(np.int64))
     vocabulary = Vocabulary(words, odds)
     at, mask = place(words.first[:-1], np.diff(words.first), vocabulary.of)
     own_odds = without[np.repeat(target.astype(np.int64), np.diff(words.first))[:, None], entries(words, np.arange(len(words.hash)))]
@@ -313,7 +386,7 @@ def fit(texts: list[str], y: np.ndarray, counts: np.ndarray, n: np.ndarray, seed
                 p[k] = (p[k] - 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     if not 0 < y[held].sum() < held.sum():
         return p, (1.0, 0.0)
-    top = [max_logits(p, words_of(data := np.frombuffer(texts[i].encode(), np.uint8), np.array([0, len(data)])), odds)[0] for i in np.flatnonzero(held)]
+    top = [max_logits(p, parts_of(data := np.frombuffer(texts[i].encode(), np.uint8), np.array([0, len(data)])), odds)[0] for i in np.flatnonzero(held)]
     return p, platt(np.array(top), y[held])
 
 
@@ -376,7 +449,7 @@ def probabilities(model, constant: float | None, data: np.ndarray, bounds: np.nd
     if model is None:
         return np.full(len(bounds) - 1, constant)
     p, odds, (slope, offset) = model
-    top = max_logits(p, words_of(data, bounds), odds).astype(np.float64)
+    top = max_logits(p, parts_of(data, bounds), odds).astype(np.float64)
     return 1 / (1 + np.exp(-np.clip(slope * top + offset, -30, 30)))
 
 

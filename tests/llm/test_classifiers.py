@@ -118,3 +118,44 @@ def test_index_vectors_are_sums_over_neighbours():
 
     rows = quality.rows_of(w)[0]
     assert np.allclose(out[rows[0]], vector(1) + vector(2)) and np.allclose(out[rows[2]], vector(3)) and np.allclose(out[rows[1]], vector(0))
+
+
+def test_parts_of_long_words():
+    rnd = random.Random(4)
+    texts = ["short words", "x" * 64, "ab" * 100, "a-b/" * 40, "\u00a0".join(["scumbag"] * 20), "\u3000".join(["scumbag"] * 20), "你好吗" * 30, "é" * 50 + "你" + "x" * 40, "ж" * 700_000, "你" * 500_000, "-" * 2_000_000]
+    texts += ["".join(rnd.choice("a9-é你\u00a0😀") * rnd.choice([1, 1, 50]) for _ in range(rnd.randrange(60))) for _ in range(200)]
+    raw = [t.encode() for t in texts]
+    data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    w = toxicity.parts_of(data, bounds)
+    assert (w.end > w.start).all() and (w.end - w.start <= toxicity.LONG + 2).all()
+    for i in range(len(raw)):
+        seen = np.zeros(len(data) + 1, np.int64)
+        own = slice(w.first[i], w.first[i + 1])
+        np.add.at(seen, w.start[own], 1), np.add.at(seen, w.end[own], -1)
+        covered = np.cumsum(seen)[bounds[i] : bounds[i + 1]] > 0
+        assert all(c or b in b" " for c, b in zip(covered, raw[i], strict=True))
+        if own.stop - own.start < 5000:
+            for a, b, h in zip(w.start[own], w.end[own], w.hash[own], strict=True):
+                part = data[a:b].tobytes()
+                assert part.decode() and (b" " in part or "\u00a0" not in part.decode() or words_of(data[a:b], np.array([0, b - a])).hash[0] == h)
+    words = [data[a:b].tobytes() for a, b in zip(w.start[w.first[4] : w.first[6]], w.end[w.first[4] : w.first[6]], strict=True)]
+    assert words.count(b"scumbag") == 40
+
+
+def test_a_term_late_in_a_text_without_white_space(spark, frame):
+    rows, labels = _texts()
+    wide = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏"
+    rnd = random.Random(2)
+    plain = lambda n: "".join(rnd.choice(wide) for _ in range(n))
+    for i in range(160, 320):
+        bad = i % 4 == 0
+        rows.append((i, plain(rnd.randrange(60, 200)) + ("恶棍" if bad else "") + plain(rnd.randrange(60))))
+        labels.append((i, int(bad), int(not bad)))
+    long = {}
+    for k, sign in enumerate(["-", "/", "\u00a0", "\u3000", "<br>"]):
+        long[1000 + k], long[2000 + k] = sign.join(["w1", "w2", "w3"] * 60 + ["scumbag", "w4"]), sign.join(["w1", "w2", "w3"] * 60 + ["w4"])
+    for k in range(5):
+        long[1100 + k], long[2100 + k] = plain(300 + k) + "恶棍" + plain(90), plain(390 + k)
+    table = spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    got = {r.doc_id: r.predicted for r in toxicity.score(frame(rows + list(long.items())), table).collect()}
+    assert {i: got[i] for i in long} == {i: int(i < 2000) for i in long}
