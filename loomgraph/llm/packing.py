@@ -1,11 +1,11 @@
-"""Packing whole documents into sequences by deficit round-robin over source queues.
+"""Packing documents into sequences by deficit round-robin over source queues, token by token.
 
-In round r every source with documents left is granted its quantum, its target share of one window of tokens; it
-sends whole documents while its credit lasts and carries the rest on.  A queue that is never idle has sent, after r
-rounds, all documents whose running token total is at most r times its quantum; so a document's round is its running
-total divided by the quantum, rounded up.  This makes the sequential scheme a sum over rows: deficits carry over
-windows and partitions alike, without a pass in one task.  The stream of rounds is then cut every `length` tokens, so
-only the last sequence has padding.
+In round r every source with tokens left is granted its quantum, its target share of one window of tokens, and sends
+as many tokens as its credit has whole ones; the fraction carries on.  So after r rounds a queue has sent its first
+floor(r * quantum) tokens, and a document is split where its source's running total passes these bounds.  This makes
+the sequential scheme a sum over rows: deficits carry over windows and partitions alike, without a pass in one task.
+The stream of rounds is then cut every `length` tokens, so only the last sequence has padding, and each window has its
+share of every source that still has tokens (a source is granted one token a round at least).
 
 Null text is empty and packs as its end token; a null source is a queue of its own; repeated rows are packed each;
 an empty table gives no pieces; no other columns are read."""
@@ -184,7 +184,8 @@ def with_quantum(rows: DataFrame, length: int, mixture: dict[str | None, float]
 
 
 def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, mixture: dict[str | None, float] | None = None) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, round, ids.
+    """One row per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset, source, round (in which the
+    document's last token is sent).
 
     mixture: target share of tokens by source (a source not named gets the least quantum); None: as in the corpus."""
     stages = Stages(docs.sparkSession, "pack")
@@ -192,26 +193,41 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, mixture
     rows = coded.select("_file", "_row", "source", "doc_tokens")
     rows = with_quantum(running_total(rows, ["source"], "doc_tokens", "_before"), length, mixture)
     rows = rows.withColumn("round", F.ceil((F.col("_before") + F.col("doc_tokens")) / F.col("quantum")).cast("long"))
-    narrow = stages.write(rows.select("_file", "_row", "source", "doc_tokens", "_before", "round"))
+    # What each round sends of a document: _n tokens from its token _a on.
+    q = F.col("quantum")
+    last = F.ceil((F.col("_before") + F.col("doc_tokens")) / q) + 1
+    rows = rows.withColumn("_turn", F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.floor(F.col("_before") / q)), last)))
+    sent = lambda turn: F.least(F.col("doc_tokens"), F.greatest(F.lit(0).cast("long"), F.floor(turn * q) - F.col("_before")))
+    rows = rows.withColumn("_a", sent(F.col("_turn") - 1)).withColumn("_n", sent(F.col("_turn")) - F.col("_a")).where("_n > 0")
+    narrow = stages.write(rows.select("_file", "_row", "source", "_before", "round", "_turn", "_a", "_n"))
     # Where each round begins in the stream: sums of rounds, of runs of rounds, of runs of runs.
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    r1 = narrow.groupBy("round").agg(F.sum("doc_tokens").alias("n")).withColumn("_k1", F.floor(F.col("round") / 4096)).withColumn("_k2", F.floor(F.col("_k1") / 4096))
+    r1 = narrow.groupBy("_turn").agg(F.sum("_n").alias("n")).withColumn("_k1", F.floor(F.col("_turn") / 4096)).withColumn("_k2", F.floor(F.col("_k1") / 4096))
     r2 = r1.groupBy("_k1", "_k2").agg(F.sum("n").alias("n"))
     r3 = r2.groupBy("_k2").agg(F.sum("n").alias("n"))
     r3 = r3.select("_k2", zero(F.sum("n").over(before(F.lit(0)).orderBy("_k2"))).alias("_b3"))
     r2 = r2.select("_k1", "_k2", zero(F.sum("n").over(before("_k2").orderBy("_k1"))).alias("_b2"))
-    r1 = r1.select("round", "_k1", "_k2", zero(F.sum("n").over(before("_k1").orderBy("round"))).alias("_b1"))
-    rounds = r1.join(r2.drop("_k2"), "_k1").join(r3, "_k2").select("round", (F.col("_b1") + F.col("_b2") + F.col("_b3")).alias("_r0"))
-    inside = zero(F.sum("doc_tokens").over(before("round").orderBy("source", "_before", "_file", "_row")))
-    spots = narrow.withColumn("_in", inside).join(rounds, "round")
-    spots = spots.select("_file", "_row", "round", (F.col("_r0") + F.col("_in")).alias("_at"))
+    r1 = r1.select("_turn", "_k1", "_k2", zero(F.sum("n").over(before("_k1").orderBy("_turn"))).alias("_b1"))
+    rounds = r1.join(r2.drop("_k2"), "_k1").join(r3, "_k2").select("_turn", (F.col("_b1") + F.col("_b2") + F.col("_b3")).alias("_r0"))
+    inside = zero(F.sum("_n").over(before("_turn").orderBy("source", "_before", "_file", "_row")))
+    spots = narrow.withColumn("_in", inside).join(rounds, "_turn").withColumn("_at", F.col("_r0") + F.col("_in"))
+    # One row for each document, so that its ids are joined once and leave out of their row in pieces.
+    spots = spots.groupBy("_file", "_row").agg(F.max("round").alias("round"), F.collect_list(F.struct("_a", "_n", "_at")).alias("_spots"))
     n = F.lit(length).cast("long")
-    out = coded.join(spots, ["_file", "_row"]).withColumn("sequence_id", F.explode(F.sequence(F.floor(F.col("_at") / n), F.floor((F.col("_at") + F.col("doc_tokens") - 1) / n))))
-    out = out.withColumn("start", F.greatest(F.lit(0).cast("long"), F.col("sequence_id") * n - F.col("_at"))).withColumn("_stop", F.least(F.col("doc_tokens"), (F.col("sequence_id") + 1) * n - F.col("_at")))
-    out = out.withColumn("length", F.col("_stop") - F.col("start")).withColumn("offset", F.col("_at") + F.col("start") - F.col("sequence_id") * n)
-    piece = F.substring(F.col("ids"), (F.col("start") * 4 + 1).cast("int"), (F.col("length") * 4).cast("int"))
-    return out.select("doc_id", "start", "length", piece.alias("ids"), "doc_tokens", "sequence_id", "offset", "source", "round")
+    ids = lambda a, size: F.substring(F.col("ids"), (a * 4 + 1).cast("int"), (size * 4).cast("int"))
+
+    def cut(spot, k):
+        lo = F.greatest(spot["_at"], k * n)
+        size = F.least(spot["_at"] + spot["_n"], (k + 1) * n) - lo
+        start = spot["_a"] + lo - spot["_at"]
+        return F.struct(start.alias("start"), size.alias("length"), ids(start, size).alias("ids"), k.alias("sequence_id"), (lo - k * n).alias("offset"))
+
+    windows = lambda spot: F.sequence(F.floor(spot["_at"] / n), F.floor((spot["_at"] + spot["_n"] - 1) / n))
+    pieces = F.flatten(F.transform("_spots", lambda spot: F.transform(windows(spot), lambda k: cut(spot, k))))
+    out = coded.join(spots, ["_file", "_row"]).select("doc_id", "doc_tokens", "source", "round", pieces.alias("_pieces"))
+    out = out.select("doc_id", "doc_tokens", "source", "round", F.inline("_pieces"))
+    return out.select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "source", "round")
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -258,6 +258,31 @@ def test_rounds_are_those_of_a_round_robin(spark, frame):
     assert got == want
 
 
+def test_windows_hold_each_source_in_proportion(frame):
+    """Target shares in every window while all sources last, one document of many windows among them."""
+    rnd = random.Random(6)
+    rows = [(i, "w " * rnd.randrange(1, 60), f"s{i % 3}") for i in range(600)] + [(1000, "w " * 12_000, "s1")]
+    left = collections.Counter()
+    for _, t, s in rows:
+        left[s] += len(t.split()) + 1
+    share = {"s0": 0.255, "s1": 0.5, "s2": 0.245}
+    out = packing.pack(frame(rows), length=200, mixture=share).collect()
+    got = collections.defaultdict(collections.Counter)
+    for r in out:
+        got[r.sequence_id][r.source] += r.length
+    whole = int(min(left[s] / (200 * share[s]) for s in share))
+    assert whole > 40
+    for k in range(whole):
+        assert all(abs(got[k][s] - 200 * share[s]) <= 2 for s in share)
+    check_pieces(packing.digest(packing.pack(frame(rows), length=200, mixture=share)).collect(), [(i, t) for i, t, _ in rows], 200)
+    corpus = collections.defaultdict(collections.Counter)
+    for r in packing.pack(frame(rows), length=200).collect():
+        corpus[r.sequence_id][r.source] += r.length
+    total = sum(left.values())
+    for k in range(len(corpus) - 1):
+        assert all(abs(corpus[k][s] - 200 * left[s] / total) <= 3 for s in share)
+
+
 # --- pipeline
 
 
