@@ -282,9 +282,15 @@ def feature(payload: bytes) -> str:
     return f"mean={total * 1000 // n} var={(square * n - total * total) * 1000 // (n * n)} cross={int((high[1:] != high[:-1]).sum())} values={int((np.bincount(x, minlength=256) > 0).sum())}"
 
 
-def describe(media: DataFrame) -> DataFrame:
-    """What is found in each media value, with its samples' digests and features, and the carved file."""
-    out = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "declared", "detected", "carved", "at"]
+#: What carve() gives for each confirmed file.
+FILE = {"kind": pa.string(), "start": pa.int64(), "end": pa.int64(), "bytes": pa.binary(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "feature": pa.string()}
+
+
+def carve(media: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media_bytes, media_sha256, declared, detected, files for each media value.  files: every
+    confirmed file from left to right with its span, its bytes, and its samples' digests and features."""
+    kind_of = pa.list_(pa.struct(list(FILE.items())))
+    out = ["doc_id", "n_bytes", "media_bytes", "media_sha256", "declared", "detected", "files"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sniffer = Sniffer()
@@ -294,25 +300,33 @@ def describe(media: DataFrame) -> DataFrame:
                 for declared, blob in zip(part.column(2), part.column(3), strict=True):
                     declared, blob = declared.as_py(), blob.as_py() or b""
                     kind, found = sniffer.sniff(blob, declared)
-                    if not found:
-                        rows.append((None, None, None, len(blob), hashlib.sha256(blob).hexdigest(), None, declared, kind, None, None))
-                        continue
-                    f = found[0]
-                    try:
-                        payload = read_samples(blob[f.start : f.end], f.kind)
-                    except ValueError:
-                        payload = b""
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), f"{f.kind} {feature(payload)}" if payload else f.kind, declared, kind, f.kind, f.start))
-                types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
+                    files = []
+                    for f in found:
+                        own = blob[f.start : f.end]
+                        try:
+                            payload = read_samples(own, f.kind)
+                        except (ValueError, struct.error, zlib.error):
+                            payload = b""
+                        files.append(dict(zip(FILE, (*f, own, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), f"{f.kind} {feature(payload)}" if payload else f.kind), strict=True)))
+                    rows.append((len(blob), hashlib.sha256(blob).hexdigest(), declared, kind, files))
+                types = [pa.int64(), pa.string(), pa.string(), pa.string(), kind_of]
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.record_batch([part.column(0), part.column(1), *cols], names=out)
 
-    return media.select("doc_id", "n_bytes", "declared", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, declared string, detected string, carved string, at long")
+    files = "array<struct<kind: string, start: long, end: long, bytes: binary, payload_bytes: long, payload_sha256: string, tail_crc32: long, feature: string>>"
+    return media.select("doc_id", "n_bytes", "declared", "media").mapInArrow(run, f"doc_id long, n_bytes long, media_bytes long, media_sha256 string, declared string, detected string, files {files}")
+
+
+def describe(media: DataFrame) -> DataFrame:
+    """carve(), and the first file's digests and features in columns of their own (null where there is no file)."""
+    f = F.get("files", F.lit(0))
+    own = [f["payload_bytes"].alias("payload_bytes"), f["payload_sha256"].alias("payload_sha256"), f["tail_crc32"].alias("tail_crc32")]
+    return carve(media).select("doc_id", "n_bytes", *own, "media_bytes", "media_sha256", f["feature"].alias("feature"), "declared", "detected", f["kind"].alias("carved"), f["start"].alias("at"), "files")
 
 
 def op6_signature_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stages = Stages(spark, "media")
-    return describe(stages.write(to_media(table(spark, sf_dir, "documents"))))
+    return describe(stages.write(to_media(table(spark, sf_dir, "documents")))).drop("files")
 
 
 QUERIES = {"op6_signature_media": op6_signature_media}

@@ -138,6 +138,19 @@ def test_media_query(frame):
     assert media.describe(media.to_media(frame([]))).count() == 0
 
 
+def test_every_file_of_a_carrier_is_carved(spark):
+    one, two, three = (media.WRITERS[k](media.pad(bytes([i]) * 700)) for i, k in enumerate(("image/png", "audio/wav", "image/bmp"), 1))
+    gif = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02\x44\x01\x00\x3b"
+    rows = [(1, 1, "image/png", b"head" + one + b"--" + two + three + gif + b"tail"), (2, 1, None, b"nothing"), (3, 1, None, None), (4, 1, "image/bmp", one + one)]
+    out = {r.doc_id: r for r in media.describe(spark.createDataFrame(rows, "doc_id long, n_bytes long, declared string, media binary")).collect()}
+    files = out[1].files
+    assert [(f.kind, bytes(f.bytes)) for f in files] == [("image/png", one), ("audio/wav", two), ("image/bmp", three), ("image/gif", gif)]
+    assert all(rows[0][3][f.start : f.end] == bytes(f.bytes) for f in files)
+    assert [f.payload_sha256 for f in files[:3]] == [hashlib.sha256(media.pad(bytes([i]) * 700)).hexdigest() for i in (1, 2, 3)]
+    assert (out[1].carved, out[1].at, out[1].detected) == ("image/png", 4, "application/octet-stream")
+    assert out[2].files == out[3].files == [] and out[2].payload_sha256 is None and [bytes(f.bytes) for f in out[4].files] == [one, one]
+
+
 # --- archives
 
 
