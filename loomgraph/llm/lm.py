@@ -1,12 +1,12 @@
-"""Language-model scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark, stored as sorted hash
-arrays that workers map into memory.
+"""Language-model scoring: an interpolated modified Kneser-Ney model of any order from 2 on, counted in Spark, stored as
+sorted hash arrays that workers map into memory.
 
-Tasks count pairs of words and send them, grouped by first word, to shards of the hash space; a shard's task merges
-them and writes its arrays: pairs with counts, and histories with totals and the numbers of followers seen once, twice
-and more often.  A second exchange, by following word, gives continuation counts.  Files go to the shared folder,
-under a temporary name first, so that a repeated task does no harm; every executor maps the same files and touches only
-the pages that its texts ask for.  The order is a bigram's: on this size of table the arrays of pairs already take as
-much room as the text.
+Tasks count runs of `order` words and send them, grouped by history (all words but the last), to shards of the hash
+space; a shard's task merges them and writes its arrays: runs with counts, and histories with totals and the numbers of
+followers seen once, twice and more often.  For each lower order another exchange gives a run's count: the number of
+distinct words before it, or how often it comes where it begins a text (nothing stands before that).  The last one, by
+following word, gives continuation counts.  Files go to the shared folder, under a temporary name first, so that a
+repeated task does no harm; every executor maps the same files and touches only the pages that its texts ask for.
 
 Words are white-space separated, A-Z lower-cased; every text ends in an end token.  Null is empty; repeated rows count
 as often as they come; with nothing to learn from, every token has the chance of the unknown one; other columns are
@@ -27,11 +27,13 @@ from .common import shared_dir, table
 from .text import mix, slices, words_of
 from .toxicity import remainder
 
+#: Words of the longest runs that the query counts.
+ORDER = 3
 #: Bytes of training text for each shard of the model, and tokens that a task counts before it sends.
 SHARD_BYTES, FLUSH = 24 << 20, 3_000_000
 END, BEGIN = (int(x) for x in mix(np.array([0x656E64, 0x626567696E], np.uint64) << np.uint64(20)))
 #: What files hold.
-PARTS = {"pair": "<u8", "pair_n": "<u4", "hist": "<u8", "hist_n": "<u4", "hist_kinds": "<u4", "cont": "<u8", "cont_n": "<u4"}
+PARTS = {"hist_raw": "<u4", "pair": "<u8", "pair_n": "<u4", "hist": "<u8", "hist_n": "<u4", "hist_kinds": "<u4", "cont": "<u8", "cont_n": "<u4"}
 
 
 def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -88,8 +90,9 @@ class Folder:
             return np.memmap(f, kind, "r")
 
 
-def sequence(w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of the texts (words and end), what stands before each, and where each text begins."""
+def sequence(w, order: int = 2) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Tokens of the texts (words and end), the histories before each (of order - 1 words, then of fewer; one that
+    reaches the text's begin gets no longer), and where each text begins."""
     n = np.diff(w.first)
     first = np.concatenate([[0], np.cumsum(n + 1)])
     tokens = np.empty(first[-1], np.uint64)
@@ -100,17 +103,25 @@ def sequence(w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[first[:-1]] = BEGIN
-    return tokens, before, first
-
-
-def grouped(h: np.ndarray, w: np.ndarray, n: np.ndarray | None = None):
-    """Distinct pairs in order of their keys: key, h, w, count."""
+    past = np.arange(len(tokens)) - np.repeat(first[:-1], n + 1)
+    out = [before]
+    for k in range(2, order):
+        last = out[-1]
+        longer = last.copy()
+        i = np.flatnonzero(past >= k - 1)  # the word k places before, or the begin
+        with np.errstate(over="ignore"):
+            longer[i] = mix(last[i] * np.uint64(5) + mix(before[i - (k - 1)] + np.uint64(k)))
+        out.append(longer)
+    return tokens, out[::-1], first
+
+
+def grouped(h: np.ndarray, w: np.ndarray, *sums: np.ndarray):
+    """Distinct pairs in order of their keys: key, where each stands first, and its sum of each of the columns."""
     key = pair_keys(h, w)
     order = np.argsort(key, kind="stable")
     key = key[order]
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    count = np.diff(np.append(edge, len(key))) if n is None else (np.add.reduceat(n[order], edge) if len(edge) else n)
-    return key[edge], h[order[edge]], w[order[edge]], count
+    return key[edge], order[edge], *(np.add.reduceat(x[order], edge) if len(edge) else x for x in sums)
 
 
 def kinds_of(count: np.ndarray) -> np.ndarray:
@@ -149,99 +160,131 @@ def by_shard(batches: Iterator[pa.RecordBatch], kinds: list[str]) -> Iterator[tu
         yield now, [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
-def count(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -> dict:
+#: Numbers that each order gives: how many counts are 1 to 4 and more; then tokens, words, ends and pairs (by pairs alone).
+INFO = 9
+
+
+def count(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES, order: int = 2) -> dict:
     """Counts all rows; returns the model: its folder and numbers."""
     spark = docs.sparkSession
     base = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
     total = docs.agg(F.sum(F.octet_length(text))).head()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, total / shard_bytes)))))
+    size_info = INFO * order
+
+    def row(of: list[np.ndarray], w: np.ndarray, **numbers: np.ndarray) -> pa.RecordBatch:
+        return pack_rows(shard_of(of[0], bits), **{f"h{len(of) - i}": x for i, x in enumerate(of)}, w=w, **numbers)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            h, w, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            *h, w, n = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            _, h, w, n = grouped(h, w, n)
-            return pack_rows(shard_of(h, bits), h=h, w=w, n=n.astype("<u4"))
+            _, at, n = grouped(h[0], w, n)
+            return row([x[at] for x in h], w[at], n=n.astype("<u4"))
 
         size = 0
         for _, data, bounds in slices(batches, size=1 << 20):
-            w, h, _ = sequence(words_of(data, bounds))
-            _, h, w, n = grouped(h, w)
-            held.append((h, w, n))
-            size += len(h)
+            w, h, _ = sequence(words_of(data, bounds), order)
+            _, at, n = grouped(h[0], w, np.ones(len(w), np.int64))
+            held.append((*(x[at] for x in h), w[at], n))
+            size += len(at)
             if size >= FLUSH:
                 yield flush()
                 size = 0
         if held:
             yield flush()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder = Folder(base)
-        for shard, (h, w, n) in by_shard(batches, ["<u8", "<u8", "<u4"]):
-            key, h, w, n = grouped(h, w, n.astype(np.int64))
-            folder.write(f"pair-{shard}", key.astype("<u8")), folder.write(f"pair_n-{shard}", n.astype("<u4"))
-            order = np.argsort(h, kind="stable")
-            hs, ns = h[order], n[order]
-            edge = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
-            kinds = np.stack([np.add.reduceat((ns == k).astype(np.int64) if k < 3 else (ns >= 3).astype(np.int64), edge) for k in (1, 2, 3)], 1)
-            sums = np.add.reduceat(ns, edge)
-            folder.write(f"hist-{shard}", hs[edge].astype("<u8")), folder.write(f"hist_n-{shard}", sums.astype("<u4")), folder.write(f"hist_kinds-{shard}", kinds.astype("<u4"))
-            words = hs[edge] != np.uint64(BEGIN)
-            ends = int(n[w == np.uint64(END)].sum())
-            u, c = np.unique(w, return_counts=True)
-            out = pack_rows(shard_of(u, bits), w=u.astype("<u8"), n=c.astype("<u4"))
-            info = np.concatenate([kinds_of(n), [n.sum(), words.sum(), ends, len(n)]]).astype("<i8")
-            yield out.append_column("info", pa.array([info.tobytes()] + [None] * (out.num_rows - 1), pa.binary()))
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder, info = Folder(base), np.zeros(9, np.int64)
-
-        def kept() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for x in batch.column(3).drop_null():
+    def passed(batches: Iterator[pa.RecordBatch], info: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if "info" in batch.schema.names:
+                for x in batch.column(batch.schema.names.index("info")).drop_null():
                     info[:] += np.frombuffer(x.as_buffer(), "<i8")
-                yield batch
+            yield batch
+
+    def merge(k: int):
+        """Of runs of k words; gives those of k - 1, or words and their continuation counts."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            folder, info = Folder(base), np.zeros(size_info, np.int64)
+            kinds_in = ["<u8"] * k + ["<u4"] * (1 if k == order else 2)
+            names = ["shard", *(f"h{i}" for i in range(k - 2, 0, -1)), "w", "n", *(["raw"] if k > 2 else []), "info"]
+            for shard, (*h, w, n, raw) in ((s, x if len(x) > k + 1 else [*x, x[-1]]) for s, x in by_shard(passed(batches, info), kinds_in)):
+                if not len(w):
+                    continue
+                key, at, n, raw = grouped(h[0], w, n.astype(np.int64), raw.astype(np.int64))
+                h, w = [x[at] for x in h], w[at]
+                # Runs that begin a text and are shorter than k are counted by the lower orders.
+                own = h[0] != h[1] if k > 2 else np.ones(len(w), bool)
+                a, hk, nk, rk = key[own], h[0][own], n[own], raw[own]
+                if len(a):
+                    folder.write(f"pair.{k}-{shard}", a.astype("<u8")), folder.write(f"pair_n.{k}-{shard}", nk.astype("<u4"))
+                    by = np.argsort(hk, kind="stable")
+                    hs, ns = hk[by], nk[by]
+                    edge = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
+                    kinds = np.stack([np.add.reduceat((ns == i).astype(np.int64) if i < 3 else (ns >= 3).astype(np.int64), edge) for i in (1, 2, 3)], 1)
+                    folder.write(f"hist.{k}-{shard}", hs[edge].astype("<u8")), folder.write(f"hist_n.{k}-{shard}", np.add.reduceat(ns, edge).astype("<u4")), folder.write(f"hist_kinds.{k}-{shard}", kinds.astype("<u4"))
+                mine = info[(k - 1) * INFO : k * INFO]
+                mine[:5] += kinds_of(nk)
+                if k == 2:
+                    folder.write(f"hist_raw.{k}-{shard}", np.add.reduceat(rk[by], edge).astype("<u4"))
+                    mine[5:] += [rk.sum(), (hs[edge] != np.uint64(BEGIN)).sum(), rk[w == np.uint64(END)].sum(), len(nk)]
+                    u, c = np.unique(w, return_counts=True)
+                    out = pack_rows(shard_of(u, bits), w=u.astype("<u8"), n=c.astype("<u4"))
+                else:
+                    _, at, n, raw = grouped(h[1], w, np.where(own, 1, n), raw)
+                    out = row([x[at] for x in h[1:]], w[at], n=n.astype("<u4"), raw=raw.astype("<u4"))
+                yield out.append_column("info", pa.nulls(out.num_rows, pa.binary()))
+            yield pa.record_batch([pa.array([0], pa.int32()), *[pa.array([b""], pa.binary())] * (len(names) - 2), pa.array([info.tobytes()], pa.binary())], names=names)
+
+        return run
 
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder, info = Folder(base), np.zeros(size_info, np.int64)
         seen = np.zeros(5, np.int64)
-        for shard, (w, n) in by_shard(kept(), ["<u8", "<u4"]):
+        for shard, (w, n) in by_shard(passed(batches, info), ["<u8", "<u4"]):
             u, inverse = np.unique(w, return_inverse=True)
             c = np.bincount(inverse, n, len(u)).astype(np.int64)
-            folder.write(f"cont-{shard}", u.astype("<u8")), folder.write(f"cont_n-{shard}", c.astype("<u4"))
+            folder.write(f"cont.1-{shard}", u.astype("<u8")), folder.write(f"cont_n.1-{shard}", c.astype("<u4"))
             seen += kinds_of(c)
-        yield pa.record_batch([pa.array([x], pa.int64()) for x in (*info, *seen)], names=[f"x{i}" for i in range(14)])
+        info[:5] += seen
+        yield pa.record_batch([pa.array([x], pa.int64()) for x in info], names=[f"x{i}" for i in range(size_info)])
 
     shards = 1 << bits
-    first = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(pairs, "shard int, h binary, w binary, n binary")
-    second = first.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, w binary, n binary, info binary")
-    third = second.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(join, ", ".join(f"x{i} long" for i in range(14)))
-    x = np.array([v or 0 for v in third.agg(*(F.sum(f"x{i}") for i in range(14))).head()], np.int64)
-    return {"folder": base, "bits": bits, "pair_d": discounts(x[:4]), "cont_d": discounts(x[9:13]), "cont_kinds": [int(x[9]), int(x[10]), int(x[11:14].sum())], "tokens": int(x[5]), "types": int(x[6]) + (x[7] > 0), "ends": int(x[7]), "pairs": int(x[8])}
+    columns = lambda k: "".join(f"h{i} binary, " for i in range(k - 1, 0, -1)) + "w binary, n binary"
+    level = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(grams, f"shard int, {columns(order)}")
+    for k in range(order, 1, -1):
+        raw = "raw binary, " if k > 2 else ""
+        level = level.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(merge(k), f"shard int, {columns(k - 1)}, {raw}info binary")
+    last = level.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(join, ", ".join(f"x{i} long" for i in range(size_info)))
+    x = np.array([v or 0 for v in last.agg(*(F.sum(f"x{i}") for i in range(size_info))).head()], np.int64).reshape(order, INFO)
+    tokens, words, ends, pairs = (int(v) for v in x[1, 5:])
+    return {"folder": base, "bits": bits, "order": order, "d": [discounts(y[:4]) for y in x], "cont_kinds": [int(x[0, 0]), int(x[0, 1]), int(x[0, 2:5].sum())], "tokens": tokens, "types": words + (ends > 0), "ends": ends, "pairs": pairs}
 
 
 class Model:
     def __init__(self, about: dict):
         self.about, self.folder, self.maps = about, Folder(about["folder"]), {}
 
-    def part(self, name: str, shard: int) -> np.ndarray:
-        if (name, shard) not in self.maps:
-            self.maps[name, shard] = self.folder.map(f"{name}-{shard}", PARTS[name])
-        return self.maps[name, shard]
+    def part(self, name: str, k: int, shard: int) -> np.ndarray:
+        if (name, k, shard) not in self.maps:
+            self.maps[name, k, shard] = self.folder.map(f"{name}.{k}-{shard}", PARTS[name])
+        return self.maps[name, k, shard]
 
-    def look(self, keys: np.ndarray, table_: str, values: list[str]) -> list[np.ndarray]:
+    def look(self, k: int, keys: np.ndarray, table_: str, values: list[str]) -> list[np.ndarray]:
         """Values for sorted distinct keys; 0 for those not there."""
         out = [np.zeros((len(keys), 3) if v == "hist_kinds" else len(keys), np.int64) for v in values]
         shard = shard_of(keys, self.about["bits"])
         which, first = np.unique(shard, return_index=True)
         for s, a, b in zip(which, first, np.append(first[1:], len(keys)), strict=True):
-            have = self.part(table_, int(s))
+            have = self.part(table_, k, int(s))
             if not len(have):
                 continue
             at = np.minimum(np.searchsorted(have, keys[a:b]), len(have) - 1)
             hit = have[at] == keys[a:b]
             for o, v in zip(out, values, strict=True):
-                got = self.part(v, int(s))
+                got = self.part(v, k, int(s))
                 got = got.reshape(-1, 3) if v == "hist_kinds" else got
                 o[a:b][hit] = got[at[hit]]
         return out
@@ -249,35 +292,37 @@ class Model:
     def score(self, words) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base, score of each text."""
         m = self.about
-        tokens, before, first = sequence(words)
-        u, of = np.unique(np.concatenate([tokens, before]), return_inverse=True)
-        w_of, h_of = of[: len(tokens)], of[len(tokens) :]
-        total, kinds = self.look(u, "hist", ["hist_n", "hist_kinds"])
-        (follow,) = self.look(u, "cont", ["cont_n"])
-        own = np.where(u == np.uint64(END), m["ends"], np.where(u == np.uint64(BEGIN), 0, total))
+        tokens, histories, first = sequence(words, m["order"])
+        u, of = np.unique(tokens, return_inverse=True)
+        (total,) = self.look(2, u, "hist", ["hist_raw"])
+        (follow,) = self.look(1, u, "cont", ["cont_n"])
+        own = np.where(u == np.uint64(END), m["ends"], total)
         base = np.log10((own + 0.5) / (m["tokens"] + 0.5 * (m["types"] + 1)))
         unknown = 1 / (m["types"] + 1)
         if m["pairs"]:
-            d = m["cont_d"]
+            d = m["d"][0]
             low = np.maximum(follow - d[np.minimum(follow, 3)], 0) / m["pairs"] + np.dot(d[1:], m["cont_kinds"]) / m["pairs"] * unknown
         else:
             low = np.full(len(u), unknown)
-        key = pair_keys(before, tokens)
-        pair, at = np.unique(key, return_inverse=True)
-        (n,) = self.look(pair, "pair", ["pair_n"])
-        n = n[at]
-        d = m["pair_d"]
-        t = np.maximum(total, 1)
-        back = np.where(total > 0, kinds @ d[1:] / t, 1.0)
-        p = np.where(total[h_of] > 0, np.maximum(n - d[np.minimum(n, 3)], 0) / t[h_of], 0.0) + back[h_of] * low[w_of]
+        p = low[of]
+        for k, h in zip(range(2, m["order"] + 1), histories[::-1], strict=True):
+            # A history that isn't there, or is counted by a lower order, leaves the chance as it is.
+            d = m["d"][k - 1]
+            hist, h_of = np.unique(h, return_inverse=True)
+            total, kinds = self.look(k, hist, "hist", ["hist_n", "hist_kinds"])
+            pair, at = np.unique(pair_keys(h, tokens), return_inverse=True)
+            (n,) = self.look(k, pair, "pair", ["pair_n"])
+            n, t = n[at], np.maximum(total, 1)
+            back = np.where(total > 0, kinds @ d[1:] / t, 1.0)
+            p = np.where(total[h_of] > 0, np.maximum(n - d[np.minimum(n, 3)], 0) / t[h_of], 0.0) + back[h_of] * p
         add = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else np.zeros(0)
-        return np.diff(first), add((own > 0)[w_of].astype(np.int64)), add(base[w_of]), add(np.log10(p))
+        return np.diff(first), add((own > 0)[of].astype(np.int64)), add(base[of]), add(np.log10(p))
 
 
-def score(docs: DataFrame, train: Column) -> DataFrame:
+def score(docs: DataFrame, train: Column, order: int = 2) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity for every row; rows that `train` picks
     are learned from."""
-    about = count(docs.where(train))
+    about = count(docs.where(train), order=order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(about)
@@ -290,7 +335,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
 
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(remainder(5) == 1, F.lit(False))
-    out = score(table(spark, sf_dir, "documents"), ~held)
+    out = score(table(spark, sf_dir, "documents"), ~held, ORDER)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 

@@ -56,6 +56,40 @@ def test_language_model_against_brute_force(spark, frame):
     assert len(got[101]) == 2
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_of_higher_order(frame, order):
+    """Counts of each order by definition, and the recursion over them."""
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choice("the cat sat on a mat dog ran".split()) for _ in range(rnd.randrange(14)))) for i in range(90)] + [(200, "new the cat sat"), (201, "cat the new sat")]
+    tokens = {i: ["BEGIN", *t.split(), "END"] for i, t in rows}
+    train = [t for i, t in tokens.items() if i < 70]
+    counts = {order: collections.Counter(tuple(t[i : i + order]) for t in train for i in range(len(t) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        runs = {tuple(t[i : i + k + 1]) for t in train for i in range(len(t) - k)}
+        counts[k] = collections.Counter(r[1:] for r in runs) + collections.Counter(tuple(t[:k]) for t in train if k > 1 and len(t) >= k)
+    v = len({w for t in train for w in t[1:]})
+    d = {k: lm.discounts(np.array([sum(min(x, 5) == i for x in c.values()) for i in range(1, 5)])) for k, c in counts.items()}
+
+    def p(h, w):
+        k = len(h) + 1
+        seen = [n for r, n in counts[k].items() if r[:-1] == h]
+        low = p(h[1:], w) if h else 1 / (v + 1)
+        if not seen:
+            return low
+        n = counts[k][(*h, w)]
+        return max(n - d[k][min(n, 3)], 0) / sum(seen) + sum(d[k][min(x, 3)] for x in seen) / sum(seen) * low
+
+    got = {r.doc_id: r.score for r in lm.score(frame(rows), F.col("doc_id") < 70, order).collect()}
+    for i, t in tokens.items():
+        assert got[i] == pytest.approx(sum(math.log10(p(tuple(t[max(0, j - order + 1) : j]), t[j])) for j in range(1, len(t))))
+
+
+def test_query_tells_words_beyond_the_pair(frame):
+    rows = [(i, "a b c" if i % 2 else "d b e") for i in range(40)] + [(100, "a b c"), (101, "a b e")]
+    got = {r.doc_id: r.score for r in lm.score(frame(rows), F.col("doc_id") < 40, lm.ORDER).collect()}
+    assert lm.ORDER >= 3 and got[100] > got[101] + 0.5
+
+
 def test_language_model_of_nothing(frame):
     r = lm.score(frame([(1, "a b"), (2, None)]), F.lit(False)).collect()
     assert [(x.n_tokens, x.n_known, x.train_tokens, x.base_score, x.score) for x in sorted(r)] == [(3, 0, 0, 0.0, 0.0), (1, 0, 0, 0.0, 0.0)]
