@@ -43,3 +43,23 @@ def test_filter_reaches_the_scan(spark, small):
 
 def test_search_is_a_heap(spark, small):
     assert "TakeOrderedAndProject" in queries.QUERIES["similar_topk"](spark, small)._jdf.queryExecution().toString()
+
+
+def changed(small, folder, **tables):
+    """The test tables with some of them changed."""
+    for t in TABLES:
+        if t in tables:
+            tables[t].to_parquet(f"{folder}/{t}.parquet", index=False)
+        else:
+            (folder / f"{t}.parquet").symlink_to(f"{small}/{t}.parquet")
+    return str(folder)
+
+
+def test_dangling_edges_of_every_type(spark, small, tmp_path):
+    lines = pd.read_parquet(f"{small}/lineitem.parquet")
+    suppliers = pd.read_parquet(f"{small}/supplier.parquet")
+    for i, (column, orphan) in enumerate((("l_orderkey", 90_000_001), ("l_partkey", 90_000_002), ("l_suppkey", 90_000_003))):
+        lines.loc[i, column] = orphan
+    suppliers.loc[0, "s_nationkey"] = 777
+    got = {(r.edge_type, e) for r in queries.QUERIES["dangling_edges"](spark, changed(small, tmp_path, lineitem=lines, supplier=suppliers)).collect() for e in (r.from_id, r.to_id)}
+    assert {("CONTAINS", "o:90000001"), ("CONTAINS", "p:90000002"), ("SUPPLIES", "p:90000002"), ("SUPPLIES", "s:90000003"), ("BASED_IN", "n:777")} <= got
