@@ -63,3 +63,12 @@ def test_dangling_edges_of_every_type(spark, small, tmp_path):
     suppliers.loc[0, "s_nationkey"] = 777
     got = {(r.edge_type, e) for r in queries.QUERIES["dangling_edges"](spark, changed(small, tmp_path, lineitem=lines, supplier=suppliers)).collect() for e in (r.from_id, r.to_id)}
     assert {("CONTAINS", "o:90000001"), ("CONTAINS", "p:90000002"), ("SUPPLIES", "p:90000002"), ("SUPPLIES", "s:90000003"), ("BASED_IN", "n:777")} <= got
+
+
+def test_names_have_the_vectors_of_their_own_keys(spark, small, tmp_path):
+    parts, vectors = pd.read_parquet(f"{small}/part.parquet").head(2), pd.read_parquet(f"{small}/embeddings.parquet").head(3)
+    parts["p_name"], parts["p_partkey"] = ["even", "odd"], parts["p_partkey"].dtype.type(1) * [702, 703]
+    vectors["vec_id"] = vectors["vec_id"].dtype.type(1) * [202, 702, 703]
+    asked, existing = queries._resolver_input(spark, changed(small, tmp_path, part=parts, embeddings=vectors))
+    assert [list(r.query_embedding) for r in asked.collect()] == [list(vectors["embedding"][1])]
+    assert [list(r.embedding) for r in existing.collect()] == [list(vectors["embedding"][2])]
