@@ -1,11 +1,15 @@
-"""What the operators share: staged tables, exact running totals, skew-proof joins, components."""
+"""What the operators share: staged tables, shared files, exact running totals, sums of arrays, skew-proof joins,
+components."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,11 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only a session whose executors run in the
+    driver's own process may do without it, as in tests; on a cluster no folder of one machine would do."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
 
 
@@ -57,6 +63,94 @@ class Stages:
         drop_stage(self.spark, self.base)
 
 
+class Folder:
+    """A folder that driver and executors share.  Files are mapped where it is mounted; from another store they are
+    copied to a nameless local file that goes with the process.  A file appears whole or not at all, so a repeated task
+    does no harm."""
+
+    def __init__(self, uri: str):
+        self.local = uri.removeprefix("file:") if uri.startswith("file:") or "://" not in uri else None
+        if self.local is not None:
+            self.local = "/" + self.local.lstrip("/")
+        self.uri = uri
+
+    def write(self, name: str, x: np.ndarray) -> None:
+        if self.local is not None:
+            os.makedirs(self.local, exist_ok=True)
+            temp = f"{self.local}/.{name}-{uuid.uuid4().hex}"
+            with open(temp, "wb") as f:
+                f.write(x.tobytes())
+            os.replace(temp, f"{self.local}/{name}")
+        else:
+            from pyarrow import fs
+
+            store, path = fs.FileSystem.from_uri(self.uri)
+            store.create_dir(path)
+            with store.open_output_stream(f"{path}/{name}") as f:
+                f.write(x.tobytes())
+
+    def map(self, name: str, kind: str) -> np.ndarray:
+        if self.local is not None:
+            path = f"{self.local}/{name}"
+            return np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(self.uri)
+        if store.get_file_info(f"{path}/{name}").size in (None, 0):
+            return np.zeros(0, kind)
+        with tempfile.TemporaryFile() as f:
+            with store.open_input_stream(f"{path}/{name}") as s:
+                while part := s.read(1 << 20):
+                    f.write(part)
+            f.flush()
+            return np.memmap(f, kind, "r")
+
+
+#: Entries of an array that travel in one row, and groups of tasks whose sums are added first.
+PACK, SALTS = 1 << 15, 64
+
+
+def packed(x: np.ndarray) -> pa.RecordBatch:
+    """An array of whole numbers as rows for add_up: stretches of PACK, each in the narrowest type that holds it;
+    stretches of zeros are left out."""
+    rows = []
+    for i in range(0, len(x), PACK):
+        part = x[i : i + PACK]
+        top = int(np.abs(part).max())
+        width = 1 if top < 1 << 7 else 2 if top < 1 << 15 else 4 if top < 1 << 31 else 8
+        if top:
+            rows.append((i // PACK, width, part.astype(f"<i{width}").tobytes()))
+    return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["chunk", "width", "part"])
+
+
+PACKED = "chunk int, width int, part binary"
+
+
+def add_up(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of the tasks' arrays of `size` whole numbers, sent as rows of packed().  A stretch is added up in SALTS
+    groups of tasks first, so that no task reads a row of every task; the driver gets size / PACK rows.  Sums of whole
+    numbers don't depend on their order."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, width, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own = np.frombuffer(part.as_buffer(), f"<i{width}")
+                if k in sums:
+                    sums[k] += own
+                else:
+                    sums[k] = own.astype(np.int64)
+        for k, x in sums.items():
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([8], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["chunk", "width", "part"])
+
+    some = parts.withColumn("_salt", F.spark_partition_id() % SALTS).repartition("chunk", "_salt").select("chunk", "width", "part").mapInArrow(add, PACKED)
+    out = np.zeros(size, np.int64)
+    for r in some.repartition("chunk").mapInArrow(add, PACKED).collect():
+        own = np.frombuffer(r["part"], "<i8")
+        out[r["chunk"] * PACK : r["chunk"] * PACK + len(own)] += own
+    return out
+
+
 def placed(stage: DataFrame) -> DataFrame:
     """A staged table with its rows' stable places: _file and _row (the place in that file)."""
     return stage.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))

@@ -14,7 +14,6 @@ not read."""
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import Folder, shared_dir, table
 from .text import mix, slices, words_of
 from .toxicity import remainder
 
@@ -46,50 +45,6 @@ def shard_of(x: np.ndarray, bits: int) -> np.ndarray:
     return (x >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
 
 
-class Folder:
-    """A folder that driver and executors share.  Files are mapped where it is mounted; from another store they are
-    copied to a nameless local file that goes with the process."""
-
-    def __init__(self, uri: str):
-        self.local = uri.removeprefix("file:") if uri.startswith("file:") or "://" not in uri else None
-        if self.local is not None:
-            self.local = "/" + self.local.lstrip("/")
-        self.uri = uri
-
-    def write(self, name: str, x: np.ndarray) -> None:
-        if self.local is not None:
-            os.makedirs(self.local, exist_ok=True)
-            temp = f"{self.local}/.{name}-{uuid.uuid4().hex}"
-            with open(temp, "wb") as f:
-                f.write(x.tobytes())
-            os.replace(temp, f"{self.local}/{name}")
-        else:
-            from pyarrow import fs
-
-            store, path = fs.FileSystem.from_uri(self.uri)
-            store.create_dir(path)
-            with store.open_output_stream(f"{path}/{name}") as f:
-                f.write(x.tobytes())
-
-    def map(self, name: str, kind: str) -> np.ndarray:
-        if self.local is not None:
-            path = f"{self.local}/{name}"
-            return np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
-        import tempfile
-
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(self.uri)
-        if store.get_file_info(f"{path}/{name}").size in (None, 0):
-            return np.zeros(0, kind)
-        with tempfile.TemporaryFile() as f:
-            with store.open_input_stream(f"{path}/{name}") as s:
-                while part := s.read(1 << 20):
-                    f.write(part)
-            f.flush()
-            return np.memmap(f, kind, "r")
-
-
 def sequence(w, order: int = 2) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Tokens of the texts (words and end), the histories before each (of order - 1 words, then of fewer; one that
     reaches the text's begin gets no longer), and where each text begins."""

@@ -4,13 +4,20 @@ numpy; a text's score comes from its most toxic window, and windows overlap and
 Word inputs are a class log-odds (document frequencies over all labelled training rows) and a hashed vector; character
 inputs are the log-odds of the word's first bytes (stems, so that unseen forms are known) and the mean of hashed
 trigram vectors.  White space alone parts words; what it leaves longer than LONG bytes is taken apart by parts_of().
-The network itself is fitted on at most FIT_DOCS labelled rows.  Null and
-empty texts get the score of a window without words; repeated rows get equal scores; without labels of both classes
-every score is the training share (0.5 without any); other columns are not read."""
+Labels never meet texts in a join: they are written as sorted ids with their labels to the shared folder, and tasks that
+read texts look their rows' ids up there, so texts aren't shuffled at any size.
+
+The network itself is fitted on at most FIT_DOCS labelled ids of each class, of which a quarter is kept for calibration;
+what a text itself adds to the frequencies is taken off both while it is learned from and while it calibrates.  Of rows
+with one id the one with the least hash of its text is used for fitting.  Null and empty texts get the score of a window
+without words; repeated rows get equal scores; very long texts are scored window by window; of windows with equal heat
+the first ones are learned from; without labels of both classes every score is the training share (0.5 without any); an
+empty table gives no rows; other columns are not read."""
 
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import PACKED, Folder, add_up, packed, shared_dir, table
 from .text import LOWER, SEGMENT, Words, hash_of, mix, slices, words_of
 
 WINDOW, STRIDE = 32, 16
@@ -29,10 +36,10 @@ STEMS = (4, 6, 8)
 #: Bytes that a word has at most before it is taken apart.
 LONG = 64
 ODDS = 1 + len(STEMS)
-#: Entries of that table in one row on the way to the driver.
-PACK = 1 << 15
-#: Labelled rows of each class that the network is fitted on at most (chosen by a hash of their ids).
+#: Labelled ids of each class that the network is fitted on at most (chosen by a hash of the ids).
 FIT_DOCS = 2000
+#: Labels in one shared file, on average.
+LABELS = 1 << 20
 #: Windows that one training text gives: those of highest log-odds, and others by chance.
 TOP, OTHERS = 2, 2
 THRESHOLD = 0.7
@@ -288,72 +295,131 @@ def log_odds(counts: np.ndarray, n: np.ndarray, strength: float = 3.0) -> np.nda
     return (np.clip(np.log(up / down) - np.log(share[1] / share[0]), -4, 6) / 3).astype(np.float32)
 
 
-def frequencies(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Texts of each class by hashed word, over all labelled rows: each task sends a table of fixed size at most."""
+class Labels:
+    """Labels by id, from sorted arrays in the shared folder: published once, mapped by every worker."""
+
+    def __init__(self, about: dict):
+        self.bits, self.folder, self.maps = about["bits"], Folder(about["folder"]), {}
+
+    @staticmethod
+    def shard(ids: np.ndarray, bits: int) -> np.ndarray:
+        return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(ids), np.int64)
+
+    @staticmethod
+    def publish(labels: DataFrame) -> dict:
+        """labels: distinct doc_id (long, not null) and y.  Ids and labels alone are shuffled."""
+        about = {"bits": max(0, int(np.ceil(np.log2(max(1, labels.count()) / LABELS)))), "folder": f"{shared_dir(labels.sparkSession)}/labels-{uuid.uuid4().hex}"}
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.record_batch([*batch.columns, pa.array(Labels.shard(batch.column(0).to_numpy(), about["bits"]).astype(np.int32))], names=["doc_id", "y", "shard"])
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts: dict[int, list] = {}  # rows come by shard
+            n = 0
+
+            def flush() -> None:
+                for shard, own in parts.items():
+                    ids, y = (np.concatenate(x) for x in zip(*own, strict=True))
+                    Folder(about["folder"]).write(f"id-{shard}", ids.astype("<i8")), Folder(about["folder"]).write(f"y-{shard}", y.astype("<i1"))
+                parts.clear()
+
+            for batch in batches:
+                shard = batch.column(2).to_numpy()
+                edge = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    if int(shard[a]) not in parts:
+                        flush()
+                    parts.setdefault(int(shard[a]), []).append((batch.column(0).to_numpy()[a:b], batch.column(1).to_numpy()[a:b]))
+                n += batch.num_rows
+            flush()
+            yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
+
+        dealt = labels.select("doc_id", "y").mapInArrow(deal, "doc_id long, y int, shard int").repartition(1 << about["bits"], "shard").sortWithinPartitions("shard", "doc_id")
+        dealt.mapInArrow(write, "n long").agg(F.sum("n")).head()
+        return about
+
+    def of(self, ids: pa.Array) -> np.ndarray:
+        """The label of each id; -1 for those without."""
+        out = np.full(len(ids), -1, np.int8)
+        here = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
+        keys = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[here]
+        shard = Labels.shard(keys, self.bits)
+        for s in np.unique(shard).tolist():
+            if s not in self.maps:
+                self.maps[s] = self.folder.map(f"id-{s}", "<i8"), self.folder.map(f"y-{s}", "<i1")
+            have, y = self.maps[s]
+            own = shard == s
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys[own]), len(have) - 1)
+                out[here[own]] = np.where(have[at] == keys[own], y[at], -1)
+        return out
+
+
+def frequencies(docs: DataFrame, about: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of each class by hashed word, over all labelled rows of docs (doc_id, text): each task sends a table of
+    fixed size at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(2 * FREQ, np.int64), np.zeros(2, np.int64)
-        for part, data, bounds in slices(batches):
-            y = np.asarray(part.column(1).to_numpy(zero_copy_only=False)).astype(np.int64)
+        counts, n, labels = np.zeros(2 * FREQ, np.int64), np.zeros(2, np.int64), Labels(about)
+        for part, data, bounds in slices(own for own, _ in labelled(batches, labels)):
+            y = part.column(2).to_numpy().astype(np.int64)
             w = parts_of(data, bounds)
             doc = np.repeat(np.arange(len(y)), np.diff(w.first))
             _, one = np.unique(doc * FREQ + (w.hash & np.uint64(FREQ - 1)).astype(np.int64), return_index=True)
             key = np.unique((doc[one, None] * FREQ + entries(w, one)).ravel())
             counts += np.bincount(y[key // FREQ] * FREQ + key % FREQ, minlength=2 * FREQ)
             n += np.bincount(y, minlength=2)
-        at = np.flatnonzero(counts)
-        keys = np.concatenate([at, [-2, -1]])
-        yield pa.record_batch([pa.array(keys), pa.array(np.concatenate([counts[at], n]))], names=["k", "n"])
+        yield packed(np.concatenate([counts, n]))
 
-    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            k, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for c in np.unique(k // PACK):
-                own = k // PACK == c
-                np.add.at(held.setdefault(int(c), np.zeros(PACK, np.int64)), k[own] % PACK, v[own])
-        yield pa.record_batch([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["chunk", "counts"])
-
-    # Tables are put together by executors, so that the driver gets one row for each PACK of their entries.
-    sums = labelled.select("text", "y").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    packed = sums.repartition(F.floor(F.col("k") / PACK)).mapInArrow(dense, "chunk long, counts binary").collect()
-    counts, n = np.zeros(2 * FREQ, np.int64), np.zeros(2, np.int64)
-    for r in packed:
-        own = np.frombuffer(r["counts"], np.int64)
-        if r["chunk"] < 0:
-            n += own[-2:]
-        else:
-            counts[r["chunk"] * PACK : (r["chunk"] + 1) * PACK] += own
-    return counts.reshape(2, FREQ), n
-
-
-def fit(texts: list[str], y: np.ndarray, counts: np.ndarray, n: np.ndarray, seed: int = 7, epochs: int = 5, batch: int = 128) -> tuple[dict[str, np.ndarray], tuple[float, float]]:
-    """The network's parameters, and slope and offset that turn a text's highest logit into a probability."""
+    sums = add_up(docs.select("doc_id", "text").mapInArrow(run, PACKED), 2 * FREQ + 2)
+    return sums[:-2].reshape(2, FREQ), sums[-2:]
+
+
+def labelled(batches: Iterator[pa.RecordBatch], labels: Labels) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The labelled rows of doc_id and text, with y as a third column."""
+    for batch in batches:
+        y = labels.of(batch.column(0))
+        own = y >= 0
+        if own.any():
+            yield pa.record_batch([*batch.filter(pa.array(own)).columns, pa.array(y[own])], names=["doc_id", "text", "y"]), y[own]
+
+
+def leave_out(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Log-odds for a text of each class, without what that text itself adds."""
+    return np.stack([log_odds(np.maximum(counts - np.array([[c == 0], [c == 1]]), 0), n) for c in (0, 1)])
+
+
+def calibrates(doc_id: int) -> bool:
+    return int(mix(np.array([doc_id], np.int64).view(np.uint64) ^ np.uint64(0xCA11B))[0]) % 4 == 0
+
+
+def lessons(doc_id: int, text: str, y: int, odds: np.ndarray) -> list[tuple]:
+    """The windows that a text gives to the fit, each as words of its own: starts, ends, hashes and bytes."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    w = parts_of(data, np.array([0, len(data)]))
+    start, size, _ = windows(w.first)
+    heat = odds[entries(w, np.arange(len(w.hash)))].max(1)
+    hot = np.argsort([-(heat[a : a + n].max() if n else 0) for a, n in zip(start, size, strict=True)], kind="stable")
+    rng = np.random.default_rng(doc_id & 0xFFFFFFFFFFFF)
+    out = []
+    for k in list(hot[:TOP]) + (list(rng.choice(hot[TOP:], min(OTHERS, len(hot) - TOP), replace=False)) if not y and len(hot) > TOP else []):
+        a, b = start[k], start[k] + size[k]
+        lo, hi = (int(w.start[a]), int(w.end[a:b].max())) if size[k] else (0, 0)
+        out.append((w.start[a:b] - lo, w.end[a:b] - lo, w.hash[a:b], data[lo:hi].tobytes()))
+    return out
+
+
+def fit(picked: list[tuple], target: np.ndarray, counts: np.ndarray, n: np.ndarray, seed: int = 7, epochs: int = 5, batch: int = 128) -> dict[str, np.ndarray]:
+    """The network's parameters; picked: windows by lessons(), target: their texts' labels."""
     rng = np.random.default_rng(seed)
     p = new_params(rng)
-    odds = log_odds(counts, n)
-    # What a text itself adds to the frequencies is taken off while it is learned from.
-    without = np.stack([log_odds(np.maximum(counts - np.array([[c == 0], [c == 1]]), 0), n) for c in (0, 1)])
-    held = rng.random(len(y)) < 0.25  # for the calibration
-    picked: list[bytes] = []
-    spans, target, at = [], [], 0
-    for i in np.flatnonzero(~held):  # windows as texts of their own, so that no more than they need is held
-        data = np.frombuffer(texts[i].encode(), np.uint8)
-        w = parts_of(data, np.array([0, len(data)]))
-        start, size, _ = windows(w.first)
-        heat = odds[entries(w, np.arange(len(w.hash)))].max(1)
-        hot = np.argsort([-(heat[a : a + n].max() if n else 0) for a, n in zip(start, size, strict=True)], kind="stable")
-        own = list(hot[:TOP]) + (list(rng.choice(hot[TOP:], min(OTHERS, len(hot) - TOP), replace=False)) if not y[i] and len(hot) > TOP else [])
-        for k in own:
-            a, b = start[k], start[k] + size[k]
-            lo, hi = (int(w.start[a]), int(w.end[a:b].max())) if size[k] else (0, 0)
-            spans.append((w.start[a:b] - lo + at, w.end[a:b] - lo + at, w.hash[a:b]))
-            picked.append(data[lo:hi].tobytes())
-            at += hi - lo
-        target += [float(y[i])] * len(own)
-    target = np.array(target, np.float32)
-    cat = [np.concatenate(x) if x else np.empty(0, t) for x, t in zip(list(zip(*spans, strict=True)) or [()] * 3, (np.int64, np.int64, np.uint64), strict=True)]
-    words = Words(np.frombuffer(b"".join(picked), np.uint8), *cat, np.concatenate([[0], np.cumsum([len(x[0]) for x in spans])]).astype(np.int64))
+    odds, without = log_odds(counts, n), leave_out(counts, n)
+    target = target.astype(np.float32)
+    size = np.array([len(x[3]) for x in picked], np.int64)
+    base = np.cumsum(size) - size
+    cat = [np.concatenate(x) if x else np.empty(0, t) for x, t in (([s + a for (s, _, _, _), a in zip(picked, base, strict=True)], np.int64), ([e + a for (_, e, _, _), a in zip(picked, base, strict=True)], np.int64), ([x[2] for x in picked], np.uint64))]
+    words = Words(np.frombuffer(b"".join(x[3] for x in picked), np.uint8), *cat, np.concatenate([[0], np.cumsum([len(x[0]) for x in picked])]).astype(np.int64))
     vocabulary = Vocabulary(words, odds)
     at, mask = place(words.first[:-1], np.diff(words.first), vocabulary.of)
     own_odds = without[np.repeat(target.astype(np.int64), np.diff(words.first))[:, None], entries(words, np.arange(len(words.hash)))]
@@ -363,7 +429,7 @@ def fit(texts: list[str], y: np.ndarray, counts: np.ndarray, n: np.ndarray, seed
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     weight = (np.where(target == 1, 0.5 / max(1, (target == 1).sum()), 0.5 / max(1, (target == 0).sum())) * len(pick)).astype(np.float32)
     step = 0
-    for _ in range(epochs):
+    for _ in range(epochs if len(words.hash) else 0):
         rng.shuffle(pick)
         for i in range(0, len(pick), batch):
             own = pick[i : i + batch]
@@ -384,10 +450,7 @@ def fit(texts: list[str], y: np.ndarray, counts: np.ndarray, n: np.ndarray, seed
                 m += 0.1 * (g[k] - m)
                 v += 0.001 * (g[k] ** 2 - v)
                 p[k] = (p[k] - 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    if not 0 < y[held].sum() < held.sum():
-        return p, (1.0, 0.0)
-    top = [max_logits(p, parts_of(data := np.frombuffer(texts[i].encode(), np.uint8), np.array([0, len(data)])), odds)[0] for i in np.flatnonzero(held)]
-    return p, platt(np.array(top), y[held])
+    return p
 
 
 def vocabulary_inputs(v: Vocabulary, p, used: np.ndarray) -> np.ndarray:
@@ -406,43 +469,71 @@ def add_gradient(v: Vocabulary, used: np.ndarray, g_word, g_char, dx: np.ndarray
     np.add.at(g_char, tri, np.repeat(dx[:, ODDS + DIM :] / size[:, None], size, axis=0))
 
 
-def platt(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of a logistic fit with a little ridge."""
+def platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and offset of a weighted logistic fit with a little ridge; Newton steps, halved until the loss falls."""
     x, y, w = x.astype(np.float64), y.astype(np.float64), np.array([1.0, 0.0])
     a = np.stack([x, np.ones_like(x)], 1)
+    loss = lambda v: float((weight * (np.logaddexp(0, a @ v) - y * (a @ v))).sum() + 0.005 * ((v - [1.0, 0.0]) ** 2).sum())
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (q - y) + 0.01 * (w - [1.0, 0.0])
-        hess = (a * (q * (1 - q))[:, None]).T @ a + 0.01 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        w = w - np.clip(step, -2, 2)
+        grad = a.T @ (weight * (q - y)) + 0.01 * (w - [1.0, 0.0])
+        step = np.linalg.solve((a * (weight * q * (1 - q))[:, None]).T @ a + 0.01 * np.eye(2), grad)
+        now, size = loss(w), 1.0
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        if size <= 1e-6:
+            break
+        w = w - size * step
     return float(max(w[0], 1e-3)), float(w[1])
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str, fit_docs: int = FIT_DOCS):
     """labels: doc_id and column (0 or 1) of the rows to learn from.  Returns a function of words to probabilities."""
-    y = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
-    labelled = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(y, "doc_id")
-    counts, n = frequencies(labelled)
+    y = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).cast("int").alias("y"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    counts, n = frequencies(docs, Labels.publish(y))
     if not n.all():
         return None, float(n[1] / n.sum()) if n.sum() else 0.5
     odds = log_odds(counts, n)
     best = y.withColumn("_h", F.xxhash64("doc_id"))
     chosen = best.where("y = 1").orderBy("_h", "doc_id").limit(fit_docs).union(best.where("y = 0").orderBy("_h", "doc_id").limit(fit_docs)).select("doc_id", "y")
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    held = docs.sparkSession.sparkContext.broadcast((counts, n))
+    rows = docs.join(F.broadcast(chosen), "doc_id").withColumn("_t", F.struct(F.xxhash64("text"), F.md5(F.col("text").cast("binary"))))
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast((counts, n))
+
+    def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odds_ = log_odds(*held.value)
+        for batch in batches:
+            own = [(i, t, c, h) for i, t, c, h in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True) if not calibrates(i)]
+            yield pa.record_batch([pa.array([i for i, *_ in own], pa.int64()), pa.array([c for *_, c, _ in own], pa.int32()), pa.array([h for *_, h in own], batch.schema.field(3).type), pa.array([pickle.dumps(lessons(i, t, c, odds_)) for i, t, c, _ in own], pa.binary())], names=["doc_id", "y", "_t", "x"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, tuple[str, int]] = {}
+        found = sorted((i, c, x) for batch in batches for i, c, x in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+        picked = [(w, c) for _, c, x in found for w in pickle.loads(x)]
+        yield pa.record_batch([pa.array([pickle.dumps(fit([w for w, _ in picked], np.array([c for _, c in picked], np.int64), *held.value))], pa.binary())], names=["model"])
+
+    # One row for each id reaches the one task that fits the network: a few windows each, 2 * fit_docs rows at most.
+    one = lambda df, *columns: df.groupBy("doc_id").agg(*(F.min_by(c, "_t").alias(c) for c in columns))
+    taught = one(rows.select("doc_id", "text", "y", "_t").mapInArrow(teach, f"doc_id long, y int, _t {rows.schema['_t'].dataType.simpleString()}, x binary"), "y", "x")
+    p = pickle.loads(taught.repartition(1).mapInArrow(learn, "model binary").head()[0])
+    network = spark.sparkContext.broadcast(p)
+
+    def examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        without = leave_out(*held.value)
         for batch in batches:
-            found.update(zip(batch.column(0).to_pylist(), zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True), strict=True))
-        if found:
-            own = [found[k] for k in sorted(found)]
-            yield pa.record_batch([pa.array([pickle.dumps(fit([t for t, _ in own], np.array([c for _, c in own]), *held.value))], pa.binary())], names=["model"])
-
-    # One task fits the network, on 2 * fit_docs texts at most; an executor has the room for them that a driver may not.
-    p, scale = pickle.loads(rows.select("doc_id", "text", "y").repartition(1).mapInArrow(learn, "model binary").head()[0])
-    return (p, log_odds(counts, n), scale), None
+            own = [(i, t, c, h) for i, t, c, h in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True) if calibrates(i)]
+            top = [float(max_logits(network.value, parts_of(data := np.frombuffer(t.encode(), np.uint8), np.array([0, len(data)])), without[c])[0]) for _, t, c, _ in own]
+            yield pa.record_batch([pa.array([i for i, *_ in own], pa.int64()), pa.array([c for *_, c, _ in own], pa.int32()), pa.array([h for *_, h in own], batch.schema.field(3).type), pa.array(top, pa.float64())], names=["doc_id", "y", "_t", "x"])
+
+    examined = one(rows.select("doc_id", "text", "y", "_t").mapInArrow(examine, f"doc_id long, y int, _t {rows.schema['_t'].dataType.simpleString()}, x double"), "y", "x")
+    got = sorted(tuple(r) for r in examined.collect())  # three numbers for each of 2 * fit_docs ids at most
+    c, top = np.array([r[1] for r in got], np.int64), np.array([r[2] for r in got])
+    scale = 1.0, 0.0
+    if 0 < c.sum() < len(c):
+        # Classes were chosen apart; weights give them the shares that they have among all labelled rows.
+        weight = (n / n.sum())[c] / (np.bincount(c, minlength=2) / len(c))[c]
+        scale = platt(top, c, weight)
+    return (p, odds, scale), None
 
 
 def probabilities(model, constant: float | None, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
