@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector
 from ..plans.schema import GraphError
 
-#: Queries that one block of a neighbour join holds.
-BLOCK = 4096
+#: Queries that one block of a neighbour join holds, and vectors that one group of them meets.
+BLOCK, GROUP = 4096, 1 << 18
 
 
 def similar(vectors: DataFrame, query: list[float], k: int, id_: str = "node_id", embedding: str = "embedding") -> DataFrame:
@@ -24,49 +24,78 @@ def similar(vectors: DataFrame, query: list[float], k: int, id_: str = "node_id"
         raise GraphError("bad_request", "top_k must be positive")
     q = F.array(*[F.lit(float(x)) for x in query])
     wrong = F.size(embedding) != len(query)
-    score = F.when(wrong, F.raise_error(F.lit("bad_request: embedding dimension mismatch")).cast("double")).otherwise(F.round(vector.cosine(embedding, q), 6))
+    score = F.when(wrong, F.raise_error(F.lit("bad_request: embedding dimension mismatch")).cast("double")).otherwise(vector.cosine(embedding, q))
     return vectors.where(F.col(embedding).isNotNull()).select(id_, score.alias("score")).orderBy(F.desc("score"), id_).limit(k)
 
 
+def blocks(rows: DataFrame, id_: str, size: int) -> tuple[DataFrame, int]:
+    """Rows with _block: numbers below the second result, with about `size` rows each."""
+    n = max(1, -(-rows.count() // size))
+    return rows.withColumn("_block", F.pmod(F.xxhash64(id_), F.lit(n)).cast("int")), n
+
+
 def nearest_neighbours(vectors: DataFrame, k: int, id_: str = "vec_id", embedding: str = "embedding", queries: DataFrame | None = None) -> DataFrame:
-    """id, neighbour, score, rank: the k nearest others of each query (all vectors by default), by block matrix products.
-
-    Queries go out in blocks of BLOCK; each task keeps k for each query of a block, and an aggregate of at most k rows
-    from each task picks the last k."""
-    queries = queries if queries is not None else vectors
-    total = queries.count()
-    out = None
-    for i in range(max(1, -(-total // BLOCK))):
-        part = queries.where(F.pmod(F.xxhash64(id_), F.lit(max(1, -(-total // BLOCK)))) == i)
-        rows = part.select(id_, embedding).collect()  # about BLOCK vectors
-        if not rows:
-            continue
-        ids = np.array([r[0] for r in rows])
-        q = np.array([r[1] for r in rows], np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
-        held = vectors.sparkSession.sparkContext.broadcast((ids, q))
-
-        def run(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, q = held.value
-            best = np.full((len(ids), k), -2.0)
-            who = np.full((len(ids), k), np.iinfo(np.int64).max)
-            for f in frames:
-                if not len(f):
+    """id, neighbour, score, rank: the k nearest others of each query (all vectors by default), exactly; ties by id.
+
+    Blocks of BLOCK queries meet groups of GROUP vectors: a task holds one block, streams the group by it as matrix
+    products, and sends k rows for each query; an aggregate of these picks the last k.  Nothing is collected or
+    broadcast.  The work is in proportion to queries times vectors, as it must be for an exact answer; index.VectorIndex
+    answers in less."""
+    queries, vectors = (usable(t, id_, embedding) for t in (queries if queries is not None else vectors, vectors))
+    own, n_blocks = blocks(queries, id_, BLOCK)
+    given, n_groups = blocks(vectors, id_, GROUP)
+    asks = own.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
+    given = given.withColumnRenamed("_block", "_group").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    return meet(asks, given, k, id_, embedding)
+
+
+def usable(rows: DataFrame, id_: str, embedding: str) -> DataFrame:
+    return rows.where(F.col(id_).isNotNull() & (F.size(embedding) > 0)).select(F.col(id_).cast("long").alias(id_), F.col(embedding).cast("array<double>").alias(embedding))
+
+
+def meet(asks: DataFrame, given: DataFrame, k: int, id_: str, embedding: str) -> DataFrame:
+    """The k nearest to each of the rows that ask, among the rows given with an equal _block and _group.  A task holds
+    the asking rows of one such pair (about BLOCK of them) and streams the given ones."""
+    columns = ["_block", "_group", "_ask", id_, embedding]
+    met = asks.withColumn("_ask", F.lit(True)).select(*columns).unionByName(given.withColumn("_ask", F.lit(False)).select(*columns))
+    met = met.repartition("_block", "_group").sortWithinPartitions("_block", "_group", F.desc("_ask"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, q = None, [], []
+        best = who = None
+
+        def result() -> pa.RecordBatch:
+            keep = best > -2
+            return pa.record_batch([pa.array(np.repeat(np.concatenate(ids), k)[keep.ravel()]), pa.array(who[keep]), pa.array(best[keep])], names=[id_, "neighbour", "score"])
+
+        for batch in batches:
+            place = batch.column(0).to_numpy().astype(np.int64) * (1 << 31) + batch.column(1).to_numpy()
+            ask = batch.column(2).to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (ask[1:] != ask[:-1])]))
+            for a, b in zip(edge, np.append(edge[1:], len(place)), strict=True):
+                if place[a] != now:
+                    if best is not None:
+                        yield result()
+                    now, ids, q, best, who = place[a], [], [], None, None
+                own = batch.column(3)[a:b].to_numpy()
+                x = batch.column(4)[a:b].flatten().to_numpy().reshape(b - a, -1)
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+                if ask[a]:
+                    ids.append(own), q.append(x)
+                    continue
+                if not ids:
                     continue
-                x = np.stack(f[embedding].to_numpy()).astype(np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-                own = f[id_].to_numpy()
-                s = np.round(q @ x.T, 6)
-                s[ids[:, None] == own[None]] = -3
+                if best is None:
+                    ids, q = [np.concatenate(ids)], [np.concatenate(q)]
+                    best, who = np.full((len(ids[0]), k), -2.0), np.full((len(ids[0]), k), np.iinfo(np.int64).max)
+                s = np.clip(q[0] @ x.T, -1, 1)
+                s[ids[0][:, None] == own[None]] = -3
                 s, w = np.concatenate([best, s], 1), np.concatenate([who, np.broadcast_to(own, s.shape)], 1)
                 order = np.lexsort((w, -s))[:, :k]
                 best, who = np.take_along_axis(s, order, 1), np.take_along_axis(w, order, 1)
-            keep = best > -2
-            yield pd.DataFrame({id_: np.repeat(ids, k)[keep.ravel()], "neighbour": who[keep], "score": best[keep]})
+        if best is not None:
+            yield result()
 
-        got = vectors.select(id_, embedding).mapInPandas(run, f"{id_} long, neighbour long, score double")
-        out = got if out is None else out.unionByName(got)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], f"{id_} long, neighbour long, score double, rank int")
+    out = met.mapInArrow(run, f"{id_} long, neighbour long, score double")
     top = out.groupBy(id_).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "neighbour"))), 1, k).alias("_t"))
     return top.select(id_, F.posexplode("_t").alias("_r", "_n")).select(id_, F.col("_n.neighbour").alias("neighbour"), (-F.col("_n.s")).alias("score"), (F.col("_r") + 1).cast("int").alias("rank"))
