@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.schema import GraphError, Schema
+from ..plans.schema import COLUMNS, GraphError, Schema
+from . import validate
 
 
 class Tables(Mapping):
@@ -16,12 +18,13 @@ class Tables(Mapping):
 
     def __init__(self, makers: Mapping):
         self._makers = dict(makers._makers) if isinstance(makers, Tables) else dict(makers)
+        self._made: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
-        t = self._makers[name]
-        if not isinstance(t, DataFrame):
-            t = self._makers[name] = t()
-        return t
+        if name not in self._made:
+            t = self._makers[name]
+            self._made[name] = t if isinstance(t, DataFrame) else t()
+        return self._made[name]
 
     def __iter__(self):
         return iter(self._makers)
@@ -32,6 +35,10 @@ class Tables(Mapping):
     def __or__(self, other: Mapping) -> Tables:
         return Tables(self._makers | Tables(other)._makers)
 
+    def same(self, other: Tables, name: str) -> bool:
+        """Whether both have the very same table (or maker of it) under the name."""
+        return name in other._makers and self._makers[name] is other._makers[name]
+
     def each(self, change: Callable[[str, DataFrame], DataFrame]) -> Tables:
         return Tables({k: (lambda k=k: change(k, self[k])) for k in self._makers})
 
@@ -108,8 +115,32 @@ class Graph:
     def count_nodes(self) -> DataFrame:
         return self.node_ids().groupBy("node_type").agg(F.count("*").alias("n"))
 
+    def get_embedding(self, node_type: str, ids: list[str]) -> DataFrame:
+        """node_id, embedding of those of the nodes that have one."""
+        table = self.embeddings.get(node_type)
+        if table is None:
+            raise GraphError("unknown_node_type", f"no embeddings of node type {node_type}")
+        return table.where(F.col("node_id").isin(ids)).select("node_id", "embedding")
+
+    def existed(self, tables: Mapping, name: str, keys: DataFrame, on: list[str]) -> DataFrame:
+        """Each distinct key with whether the table has it: the answer of a delete, asked before it."""
+        asked = keys.select(*on).distinct()
+        if (table := tables.get(name)) is None:
+            return asked.withColumn("existed", F.lit(False))
+        here = table.select(*on).distinct().withColumn("_f", F.lit(True))
+        return asked.join(here, on, "left").select(*on, F.coalesce("_f", F.lit(False)).alias("existed"))
+
+    def nodes_existed(self, node_type: str, ids: DataFrame) -> DataFrame:
+        return self.existed(self.nodes, node_type, ids, ["node_id"])
+
+    def edges_existed(self, edge_type: str, keys: DataFrame) -> DataFrame:
+        return self.existed(self.edges, edge_type, keys, ["from_id", "to_id"])
+
+    def embeddings_existed(self, node_type: str, ids: DataFrame) -> DataFrame:
+        return self.existed(self.embeddings, node_type, ids, ["node_id"])
+
     def dangling_edges(self) -> DataFrame:
-        """Edges of which an end is no node: two anti joins on narrow columns."""
+        """Edges of which an end is no node: each end is joined to the distinct ids, on narrow columns."""
         ids = self.node_ids().select("node_id").distinct()
         marked = self.all_edges().join(ids.withColumn("_f", F.lit(1)), F.col("from_id") == F.col("node_id"), "left").drop("node_id")
         marked = marked.join(ids.withColumn("_t", F.lit(1)), F.col("to_id") == F.col("node_id"), "left").drop("node_id")
@@ -121,7 +152,41 @@ class Graph:
         a = a.where(F.col("from_id") == node_id) if node_id else a
         return a.join(self.edges[second].select(F.col("from_id").alias("via"), "to_id"), "via").select("from_id", "via", "to_id").distinct()
 
-    # -- changes
+    # -- changes that are checked against the schema
+
+    def create_nodes(self, node_type: str, rows: DataFrame) -> Written:
+        """rows: node_id, properties (JSON text), seq if an id may come again (the last one counts).  Defaults are put
+        in; rows that break the schema are refused with every violation, and the others take the place of nodes with
+        their ids."""
+        checked = validate.validate_nodes(rows, self.schema, node_type)
+        good = validate.typed(checked.where(F.size("errors") == 0), self.schema.node_types[node_type])
+        stored = latest(good, ["node_id"])
+        graph = replace(self, nodes=self.nodes | {node_type: put(self.nodes.get(node_type), stored, ["node_id"])})
+        return Written(graph, stored, violations(checked, ["node_id"]))
+
+    def replace_node_properties(self, node_type: str, rows: DataFrame) -> Written:
+        """As create_nodes for nodes that are there: the given properties (after defaults) are all that they have then.
+        Rows of unknown ids change nothing and are in neither result."""
+        if node_type not in self.schema.node_types:
+            raise GraphError("unknown_node_type", f"Unknown node type: {node_type}")
+        table = self.nodes.get(node_type)
+        known = rows.limit(0) if table is None else rows.join(table.select("node_id"), "node_id", "left_semi")
+        return self.create_nodes(node_type, known)
+
+    def create_edges(self, rows: DataFrame) -> Written:
+        """rows: edge_type, from_type, from_id, to_type, to_id, properties (JSON text), seq as for nodes.  The ends'
+        types are checked, then the properties; the ends need not be there, an edge's end is an id alone."""
+        keys = ["from_id", "to_id"]
+        checked = validate.validate_edges(rows, self.schema)
+        good, edges, stored = checked.where(F.size("errors") == 0), self.edges, None
+        for kind, declared in sorted(self.schema.edge_types.items()):
+            new = latest(validate.typed(good.where(F.col("edge_type") == kind), declared, tuple(keys)), keys)
+            edges = edges | {kind: put(self.edges.get(kind), new, keys)}
+            own = new.select(F.lit(kind).alias("edge_type"), *keys, F.to_json(F.struct(*[c for c in new.columns if c not in (*keys, "_present", "_extra")])).alias("properties")) if declared.properties else new.select(F.lit(kind).alias("edge_type"), *keys, F.lit("{}").alias("properties"))
+            stored = own if stored is None else stored.unionByName(own)
+        return Written(replace(self, edges=edges), stored, violations(checked, ["edge_type", *keys]))
+
+    # -- changes of whole rows
 
     def upsert_nodes(self, node_type: str, rows: DataFrame) -> Graph:
         """Whole rows; they take the place of rows with their ids.  Of rows with one id the last by `seq` counts."""
@@ -178,12 +243,21 @@ class Graph:
         schema.validate()
         if wrong := self.schema.incompatibilities(schema):
             raise GraphError("bad_request", "; ".join(wrong))
-        from ..plans.schema import COLUMNS
+        return replace(self, schema=schema).widened()
+
+    def widened(self) -> Graph:
+        """With a null column for each declared property that a stored table has no column for; a table that has them all
+        stays the same table."""
 
-        def widen(t: DataFrame, properties: dict) -> DataFrame:
-            return t.withColumns({k: F.lit(None).cast(COLUMNS[p.type]) for k, p in properties.items() if k not in t.columns})
+        def widen(tables: Tables, types: dict) -> dict:
+            def made(name: str) -> DataFrame:
+                t, p = tables[name], types[name].properties if name in types else {}
+                missing = {k: F.lit(None).cast(COLUMNS[d.type]) for k, d in p.items() if k not in t.columns}
+                return t.withColumns(missing) if missing else t
 
-        return replace(self, schema=schema, nodes=self.nodes.each(lambda k, t: widen(t, schema.node_types[k].properties)), edges=self.edges.each(lambda k, t: widen(t, schema.edge_types[k].properties)))
+            return {k: (lambda k=k: made(k)) for k in tables}
+
+        return replace(self, nodes=widen(self.nodes, self.schema.node_types), edges=widen(self.edges, self.schema.edge_types))
 
     # -- batches
 
@@ -191,6 +265,32 @@ class Graph:
         return Batch(self)
 
 
+@dataclass(frozen=True)
+class Written:
+    """What a checked change gives: the graph after it, the rows as stored, and the violations (keys, property, message)
+    of those that were refused."""
+
+    graph: Graph
+    stored: DataFrame | None
+    refused: DataFrame
+
+
+def violations(checked: DataFrame, keys: list[str]) -> DataFrame:
+    return checked.select(*keys, F.explode("errors").alias("_e")).select(*keys, "_e.property", "_e.message")
+
+
+def put(old: DataFrame | None, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows in the place of those with their keys.  A table that has no columns for absent and undeclared properties
+    yet gets them."""
+    if old is None:
+        return rows
+    kept = old.join(rows.select(*keys), keys, "left_anti")
+    for c in rows.columns:
+        if c not in kept.columns:
+            kept = kept.withColumn(c, F.lit(None).cast(rows.schema[c].dataType))
+    return kept.unionByName(rows, allowMissingColumns=True)
+
+
 class Batch:
     """Changes that are seen by nobody until commit(), in order."""
 
@@ -229,12 +329,6 @@ def upsert(old: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(rows.select(*keys), keys, "left_anti").unionByName(rows, allowMissingColumns=True).select(*old.columns)
 
 
-def newest(changes: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """Rows of a change log that stand last for their key."""
-    w = Window.partitionBy(*keys).orderBy(order.desc())
-    return changes.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-
-
 def coerce(schema: Schema, node_type: str, prop: str, text: str) -> object:
     """A property's value from text."""
     n = schema.node_types.get(node_type)
@@ -246,10 +340,9 @@ def coerce(schema: Schema, node_type: str, prop: str, text: str) -> object:
     if p.type in ("string", "enum", "datetime"):
         return text
     if p.type == "int":
-        try:
-            return int(text)
-        except ValueError:
-            raise GraphError("bad_request", f"{text!r} is not a whole number") from None
+        if not re.fullmatch(r"[+-]?[0-9]+", text) or not -(1 << 63) <= int(text) < 1 << 63:
+            raise GraphError("bad_request", f"{text!r} is not a whole number of 64 bits")
+        return int(text)
     if p.type == "bool" and text in ("true", "false"):
         return text == "true"
     raise GraphError("bad_request", f"{node_type}.{prop} can't be filtered by {text!r}")

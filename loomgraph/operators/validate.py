@@ -3,17 +3,31 @@ properties, then values; every violation is reported, in order of property."""
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.schema import TYPES, GraphError, NodeType, Property, Schema, accepts
+from ..plans.schema import TYPES, EdgeType, GraphError, NodeType, Property, Schema, accepts
 
 ERROR = "struct<property:string,message:string>"
 
 
-def _value(properties: Column, name: str) -> Column:
-    """The property as a variant: null if absent, a variant null if it is null."""
-    return F.try_variant_get(F.try_parse_json(properties), f"$.{name}", "variant")
+def parsed(properties: Column) -> Column:
+    """The properties as one variant, to be made once a row; no properties are an empty object."""
+    return F.try_parse_json(F.coalesce(properties, F.lit("{}")))
+
+
+def _path(name: str) -> str:
+    return f"$.{name}" if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name) else "$[" + json.dumps(name) + "]"
+
+
+def _value(body: Column, name: str, p: Property | None = None) -> Column:
+    """A property of the parsed body as a variant: null if absent, a variant null if it is null; the default of `p`
+    where that has one and the property is absent."""
+    v = F.try_variant_get(body, _path(name), "variant")
+    return F.coalesce(v, F.parse_json(F.lit(json.dumps(p.default)))) if p is not None and p.has_default else v
 
 
 def _kind(v: Column) -> Column:
@@ -28,10 +42,10 @@ def _shown(x: float) -> str:
     return str(int(x)) if float(x).is_integer() else repr(float(x))
 
 
-def message(properties: Column, name: str, p: Property) -> Column:
-    """What is wrong with a property, or null."""
-    v = _value(properties, name)
-    kind, text = _kind(v), F.try_variant_get(F.try_parse_json(properties), f"$.{name}", "string")
+def message(body: Column, name: str, p: Property) -> Column:
+    """What is wrong with a property of the parsed body (after defaults), or null."""
+    v = _value(body, name, p)
+    kind, text = _kind(v), F.try_variant_get(v, "$", "string")
     accepted = {"string": "string", "datetime": "string", "enum": "string", "int": "int", "float": "float", "bool": "bool", "list:string": "list"}[p.type]
     out = F.when(v.isNull(), F.lit("required property is missing") if p.required else F.lit(None).cast("string"))
     out = out.when(F.is_variant_null(v), F.lit("required property cannot be null") if p.required and not p.nullable else F.lit(None).cast("string"))
@@ -40,35 +54,33 @@ def message(properties: Column, name: str, p: Property) -> Column:
         listed = "[" + ", ".join(f'"{x}"' for x in p.values) + "]"
         out = out.when(~text.isin(p.values), F.concat(F.lit("invalid enum value '"), text, F.lit(f"', expected one of {listed}")))
     if p.type == "list:string":
-        items = F.try_variant_get(F.try_parse_json(properties), f"$.{name}", "array<variant>")
+        items = F.try_variant_get(v, "$", "array<variant>")
         kinds = F.transform(items, lambda x, i: F.when(_kind(x) != "string", F.concat(F.lit("list:string element "), i.cast("string"), F.lit(" is not a string: got "), _kind(x))))
         out = out.when(F.exists(kinds, lambda x: x.isNotNull()), F.element_at(F.filter(kinds, lambda x: x.isNotNull()), 1))
     if p.range is not None and p.type in ("int", "float"):
-        number = F.try_variant_get(F.try_parse_json(properties), f"$.{name}", "double")
+        number = F.try_variant_get(v, "$", "double")
         shown = F.when(number == F.floor(number), F.floor(number).cast("string")).otherwise(number.cast("string"))
         out = out.when((number < p.range[0]) | (number > p.range[1]), F.concat(F.lit("value "), shown, F.lit(f" out of range [{_shown(p.range[0])}, {_shown(p.range[1])}]")))
     return out
 
 
-def errors(properties: Column, declared: dict[str, Property]) -> Column:
+def errors(body: Column, declared: dict[str, Property]) -> Column:
     """Array of (property, message), in order of property; empty if all is well."""
-    each = [F.struct(F.lit(k).alias("property"), message(properties, k, p).alias("message")) for k, p in sorted(declared.items())]
+    each = [F.struct(F.lit(k).alias("property"), message(body, k, p).alias("message")) for k, p in sorted(declared.items())]
     return F.filter(F.array(*each), lambda e: e["message"].isNotNull()) if each else F.array().cast(f"array<{ERROR}>")
 
 
-def with_defaults(properties: Column, declared: dict[str, Property]) -> Column:
-    """JSON text with a default for each absent property that has one; explicit nulls stay."""
-    import json
-
-    out = F.coalesce(properties, F.lit("{}"))
-    for name, p in sorted(declared.items()):
-        if p.has_default:
-            item = f"{json.dumps(name)}:{json.dumps(p.default)}"
-            body = F.rtrim(out)
-            inner = F.substring(body, F.lit(1), F.length(body) - 1)
-            empty = F.regexp_like(body, F.lit(r"^\s*\{\s*\}$"))
-            out = F.when(_value(out, name).isNull(), F.concat(inner, F.when(empty, F.lit("")).otherwise(F.lit(",")), F.lit(item + "}"))).otherwise(out)
-    return out
+def with_defaults(properties: Column, body: Column, declared: dict[str, Property]) -> Column:
+    """JSON text with a default for each absent property that has one; explicit nulls stay.  All absent ones are put in
+    at once, so the expression grows with the number of defaults and no faster."""
+    text = F.coalesce(properties, F.lit("{}"))
+    items = [F.when(_value(body, k).isNull(), F.lit(f"{json.dumps(k)}:{json.dumps(p.default)}")) for k, p in sorted(declared.items()) if p.has_default]
+    if not items:
+        return text
+    trimmed = F.regexp_replace(text, r"\s+$", "")
+    inner = F.substring(trimmed, F.lit(1), F.length(trimmed) - 1)
+    comma = F.when(F.regexp_like(inner, F.lit(r"^\s*\{\s*$")), F.lit("")).otherwise(F.lit(","))
+    return F.when(F.coalesce(*items).isNull(), text).otherwise(F.concat(inner, comma, F.array_join(F.array(*items), ","), F.lit("}")))
 
 
 def validate_nodes(nodes: DataFrame, schema: Schema, node_type: str) -> DataFrame:
@@ -76,8 +88,8 @@ def validate_nodes(nodes: DataFrame, schema: Schema, node_type: str) -> DataFram
     if node_type not in schema.node_types:
         raise GraphError("unknown_node_type", f"Unknown node type: {node_type}")
     declared = schema.node_types[node_type].properties
-    done = nodes.withColumn("properties", with_defaults(F.col("properties"), declared))
-    return done.withColumn("errors", errors(F.col("properties"), declared))
+    done = nodes.withColumn("_body", parsed(F.col("properties")))
+    return done.withColumns({"properties": with_defaults(F.col("properties"), F.col("_body"), declared), "errors": errors(F.col("_body"), declared)}).drop("_body")
 
 
 def validate_edges(edges: DataFrame, schema: Schema) -> DataFrame:
@@ -90,24 +102,26 @@ def validate_edges(edges: DataFrame, schema: Schema) -> DataFrame:
         ends = [F.col(c).isin([n for n in schema.node_types if accepts(end, n)]) if "*" not in end else F.lit(True) for c, end in (("from_type", e.source), ("to_type", e.target))]
         fits = fits | ((F.col("edge_type") == k) & ends[0] & ends[1])
     wrong = F.when(~known, F.concat(F.lit("Unknown edge type: "), "edge_type")).when(~fits, F.concat(F.lit("Invalid edge: "), "edge_type", F.lit(" cannot connect "), "from_type", F.lit(" to "), "to_type"))
-    body, found = F.col("properties"), F.array().cast(f"array<{ERROR}>")
-    for k, e in kinds:
-        body = F.when(F.col("edge_type") == k, with_defaults(F.col("properties"), e.properties)).otherwise(body)
-    done = edges.withColumn("properties", body)
+    text, found = F.col("properties"), F.array().cast(f"array<{ERROR}>")
     for k, e in kinds:
-        found = F.when(F.col("edge_type") == k, errors(F.col("properties"), e.properties)).otherwise(found)
+        if e.properties:
+            own = F.col("edge_type") == k
+            text = F.when(own, with_defaults(F.col("properties"), F.col("_body"), e.properties)).otherwise(text)
+            found = F.when(own, errors(F.col("_body"), e.properties)).otherwise(found)
     own = F.array(F.struct(F.lit(None).cast("string").alias("property"), wrong.alias("message")))
-    return done.withColumn("errors", F.when(wrong.isNotNull(), own).otherwise(found))
+    return edges.withColumn("_body", parsed(F.col("properties"))).withColumns({"properties": text, "errors": F.when(wrong.isNotNull(), own).otherwise(found)}).drop("_body")
 
 
-def typed(nodes: DataFrame, node_type: NodeType) -> DataFrame:
-    """Valid nodes as columns: node_id, one of its type for each declared property, _present (names of the keys that
-    are there, so that absent and null differ) and _extra (JSON text of each undeclared one)."""
-    parsed = F.from_json("properties", node_type.struct())
+def typed(nodes: DataFrame, node_type: NodeType | EdgeType, keys: tuple[str, ...] = ("node_id",)) -> DataFrame:
+    """Valid nodes (or edges) as columns: the keys, one of its type for each declared property, _present (names of the
+    keys that are there, so that absent and null differ) and _extra (JSON text of each undeclared one); and seq, where
+    there is one."""
+    columns = F.from_json("properties", node_type.struct())
     whole = F.from_json("properties", "map<string,string>")
     names = sorted(node_type.properties)
     extra = F.map_filter(whole, lambda k, v: ~k.isin(names)) if names else whole
-    return nodes.select("node_id", *[parsed[n].alias(n) for n in names], F.array_sort(F.map_keys(whole)).alias("_present"), extra.alias("_extra"))
+    keep = [*keys, *(["seq"] if "seq" in nodes.columns and "seq" not in names else [])]
+    return nodes.select(*keep, *[columns[n].alias(n) for n in names], F.array_sort(F.map_keys(whole)).alias("_present"), extra.alias("_extra"))
 
 
 def index_text(c: Column, kind: str) -> Column:
@@ -122,4 +136,4 @@ def index_text(c: Column, kind: str) -> Column:
 
 
 def valid_graph_id(c: Column) -> Column:
-    return F.coalesce(c.rlike("^[A-Za-z0-9_-]{1,100}$"), F.lit(False))
+    return F.coalesce(c.rlike(r"\A[A-Za-z0-9_-]{1,100}\z"), F.lit(False))

@@ -14,6 +14,8 @@ TYPES = {"string": "String", "int": "Int", "float": "Float", "bool": "Bool", "da
 COLUMNS = {"string": T.StringType(), "int": T.LongType(), "float": T.DoubleType(), "bool": T.BooleanType(), "datetime": T.StringType(), "enum": T.StringType(), "list:string": T.ArrayType(T.StringType())}
 STRATEGIES = ("fuzzy_then_vector", "exact", "fuzzy_only", "vector_only")
 ANY = "*"
+#: Version of the shapes that callers outside get.
+WIRE_VERSION = "0.2.0"
 
 
 class GraphError(Exception):
@@ -71,7 +73,11 @@ class NodeType:
         return {"properties": {k: v.json() for k, v in self.properties.items()}, "embedding_field": self.embedding_field, "resolution": self.resolution, "extraction_hint": self.extraction_hint}
 
     def struct(self) -> T.StructType:
-        return T.StructType([T.StructField(k, COLUMNS[p.type]) for k, p in sorted(self.properties.items())])
+        return struct_of(self.properties)
+
+
+def struct_of(properties: dict[str, Property]) -> T.StructType:
+    return T.StructType([T.StructField(k, COLUMNS[p.type]) for k, p in sorted(properties.items())])
 
 
 @dataclass
@@ -91,6 +97,9 @@ class EdgeType:
     def json(self) -> dict:
         return {"from": self.source, "to": self.target, "properties": {k: v.json() for k, v in self.properties.items()}, "extraction_hint": self.extraction_hint, "inference_category": self.inference_category, "pass_1_extractable": self.pass_1_extractable}
 
+    def struct(self) -> T.StructType:
+        return struct_of(self.properties)
+
 
 def names_of(end: str | list[str]) -> list[str]:
     return [end] if isinstance(end, str) else list(end)
@@ -241,6 +250,10 @@ class Schema:
     def json(self) -> dict:
         return {"name": self.name, "version": self.version, "node_types": {k: v.json() for k, v in self.node_types.items()}, "edge_types": {k: v.json() for k, v in self.edge_types.items()}, "extraction_modes": self.extraction_modes}
 
+    def wire(self, graph_id: str) -> dict:
+        """The schema as a caller outside gets it, with what it compares against: our version and the content's hash."""
+        return {"id": graph_id, "wire_version": WIRE_VERSION, "content_hash": self.content_hash(), "schema": self.json()}
+
     def content_hash(self) -> str:
         return hashlib.sha256(json.dumps(self.json(), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
