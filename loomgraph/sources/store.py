@@ -1,12 +1,15 @@
-"""Graphs on disk: Parquet snapshots with a pointer to the current one, and a registry of graphs.
+"""Graphs on disk: Parquet tables, states that name them, and a registry of graphs.
 
-A snapshot is written whole before the pointer moves, so readers see the old state or the new one; a snapshot that is
-being read is never written to.  One writer for each graph at a time."""
+State n of a graph is the file state-<n>: its schema and the folder of each of its tables.  It is written under another
+name and renamed to a name that nobody has used, so a state is there whole or not at all, and the state with the largest
+number is the current one: there is no moment without one.  A save writes the tables that have changed and names the old
+folders of the others; folders that none of the last KEEP states names are removed.  One writer for each graph at a time."""
 
 from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -14,6 +17,8 @@ from ..operators.graph import Graph
 from ..plans.schema import GraphError, Schema
 
 KINDS = ("nodes", "edges", "embeddings")
+#: States that stay for readers that have begun.
+KEEP = 2
 
 
 class Files:
@@ -39,16 +44,15 @@ class Files:
             stream.close()
 
     def write(self, path: str, text: str) -> None:
-        """By a rename over the old one, so that a reader never sees half of it."""
+        """A new file, there whole or not at all; never over an old one."""
         fs, p = self._at(path)
-        _, temp = self._at(path + ".new")
+        _, temp = self._at(f"{path}.{uuid.uuid4().hex}.new")
         out = fs.create(temp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        if not fs.rename(temp, p):
-            raise GraphError("storage", f"can't move {path} into place")
+        if fs.exists(p) or not fs.rename(temp, p):
+            fs.delete(temp, False)
+            raise GraphError("conflict", f"{path} was written by another writer")
 
     def list(self, path: str) -> list[str]:
         fs, p = self._at(path)
@@ -74,11 +78,9 @@ class Registry:
     def create(self, graph_id: str, schema: Schema) -> Graph:
         self.check_id(graph_id)
         schema.validate()
-        if graph_id in self.graphs or self.files.exists(graph_id):
+        if graph_id in self.graphs or self._states(graph_id):
             raise GraphError("conflict", f"graph {graph_id} exists")
-        self.files.write(f"{graph_id}/schema.json", json.dumps(schema.json(), sort_keys=True))
-        self.graphs[graph_id] = Graph(schema)
-        return self.graphs[graph_id]
+        return self._commit(graph_id, schema, {})
 
     def get(self, graph_id: str) -> Graph:
         if graph_id not in self.graphs:
@@ -88,41 +90,64 @@ class Registry:
     def list_ids(self) -> list[str]:
         return sorted(self.graphs)
 
-    def save(self, graph_id: str, graph: Graph) -> Graph:
-        """Writes a snapshot, moves the pointer, and returns the graph as read from it."""
-        self.get(graph_id)
-        version = int(json.loads(self.files.read(f"{graph_id}/CURRENT"))["version"]) + 1 if self.files.exists(f"{graph_id}/CURRENT") else 1
-        base, tables = f"{self.root}/{graph_id}/v={version}", {}
-        for kind in KINDS:
-            for name, df in getattr(graph, kind).items():
-                df.write.mode("overwrite").parquet(f"{base}/{kind}/{name}")
-                tables.setdefault(kind, []).append(name)
-        self.files.write(f"{graph_id}/schema.json", json.dumps(graph.schema.json(), sort_keys=True))
-        self.files.write(f"{graph_id}/CURRENT", json.dumps({"version": version, "tables": tables}))
+    def _states(self, graph_id: str) -> list[int]:
+        return sorted(int(m[1]) for x in self.files.list(graph_id) if (m := re.fullmatch(r"state-([0-9]+)", x)))
+
+    def _commit(self, graph_id: str, schema: Schema, tables: dict) -> Graph:
+        """tables: folders by kind and name."""
+        states = self._states(graph_id)
+        n = states[-1] + 1 if states else 1
+        self.files.write(f"{graph_id}/state-{n}", json.dumps({"schema": schema.json(), "tables": tables}, sort_keys=True))
         self.graphs[graph_id] = self._load(graph_id)
+        self._clean(graph_id)
         return self.graphs[graph_id]
 
+    def _clean(self, graph_id: str) -> None:
+        states = self._states(graph_id)
+        for n in states[:-KEEP]:
+            self.files.delete(f"{graph_id}/state-{n}")
+        named = {f for n in states[-KEEP:] for kind in json.loads(self.files.read(f"{graph_id}/state-{n}"))["tables"].values() for f in kind.values()}
+        for folder in self.files.list(f"{graph_id}/tables"):
+            if folder not in named:
+                self.files.delete(f"{graph_id}/tables/{folder}")
+
+    def save(self, graph_id: str, graph: Graph) -> Graph:
+        """Writes the tables that aren't those of the current state, then the next state, and returns the graph as read
+        from it."""
+        now, tables = self.get(graph_id), {}
+        folders = self._tables(graph_id)
+        for kind in KINDS:
+            have = getattr(now, kind)
+            for name in getattr(graph, kind):
+                if name in folders.get(kind, {}) and getattr(graph, kind).same(have, name):
+                    folder = folders[kind][name]
+                else:
+                    folder = f"{kind}-{name}-{uuid.uuid4().hex}"
+                    getattr(graph, kind)[name].write.parquet(f"{self.root}/{graph_id}/tables/{folder}")
+                tables.setdefault(kind, {})[name] = folder
+        return self._commit(graph_id, graph.schema, tables)
+
+    def _tables(self, graph_id: str) -> dict:
+        states = self._states(graph_id)
+        return json.loads(self.files.read(f"{graph_id}/state-{states[-1]}"))["tables"] if states else {}
+
     def _load(self, graph_id: str) -> Graph:
-        schema = Schema.from_json(self.files.read(f"{graph_id}/schema.json"))
-        if not self.files.exists(f"{graph_id}/CURRENT"):
-            return Graph(schema)
-        now = json.loads(self.files.read(f"{graph_id}/CURRENT"))
-        base = f"{self.root}/{graph_id}/v={now['version']}"
-        return Graph(schema, *({n: (lambda kind=kind, n=n: self.spark.read.parquet(f"{base}/{kind}/{n}")) for n in now["tables"].get(kind, [])} for kind in KINDS))
+        now = json.loads(self.files.read(f"{graph_id}/state-{self._states(graph_id)[-1]}"))
+        at = f"{self.root}/{graph_id}/tables"
+        for folder in sorted(f for kind in now["tables"].values() for f in kind.values()):
+            if not self.files.exists(f"{graph_id}/tables/{folder}"):
+                raise GraphError("storage", f"graph {graph_id}: the table {folder} is gone")
+        graph = Graph(Schema.of(now["schema"]), *({n: (lambda f=f: self.spark.read.parquet(f"{at}/{f}")) for n, f in now["tables"].get(kind, {}).items()} for kind in KINDS))
+        return graph.widened()
 
     def replace_schema(self, graph_id: str, schema: Schema) -> Graph:
-        """A schema that breaks stored data is refused and nothing changes."""
-        graph = self.get(graph_id).with_schema(schema)
-        self.files.write(f"{graph_id}/schema.json", json.dumps(schema.json(), sort_keys=True))
-        self.graphs[graph_id] = graph
-        return graph
+        """A schema that breaks stored data is refused and nothing changes; no table is written."""
+        self.get(graph_id).with_schema(schema)
+        return self._commit(graph_id, schema, self._tables(graph_id))
 
     def clear(self, graph_id: str) -> Graph:
         """Drops this graph's data, not its schema."""
-        graph = Graph(self.get(graph_id).schema)
-        self.files.delete(f"{graph_id}/CURRENT")
-        self.graphs[graph_id] = graph
-        return graph
+        return self._commit(graph_id, self.get(graph_id).schema, {})
 
     def delete(self, graph_id: str) -> None:
         self.get(graph_id)
@@ -133,8 +158,14 @@ class Registry:
         """Loads graphs that are on disk and not here; returns their ids.  A broken one is an error."""
         new = []
         for name in self.files.list(""):
-            if name not in self.graphs and self.files.exists(f"{name}/schema.json"):
+            if name not in self.graphs and self._states(name):
                 self.check_id(name)
-                self.graphs[name] = self._load(name)
+                try:
+                    loaded = self._load(name)
+                except GraphError:
+                    raise
+                except Exception as e:  # torn, unreadable or of another form: never a graph that looks empty
+                    raise GraphError("storage", f"graph {name} can't be loaded: {e}") from e
+                self.graphs[name] = loaded
                 new.append(name)
         return sorted(new)
