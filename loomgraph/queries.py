@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +12,9 @@ from pyspark.sql import functions as F
 
 from .functions import fuzzy, stats, vector
 from .operators import resolve, search, validate
+from .operators.index import VectorIndex
 from .plans.schema import Schema
+from .sources import store
 from .sources.tables import SCHEMA, graph, key, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +30,15 @@ def query(sql: str):
     return keep
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder for graphs that a query stores: the one that driver and executors share.  Only where the executors run
+    in the driver's own process may it be one of this machine."""
+    got = spark.conf.get("spark.checkpoint.dir", None)
+    if not got and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (got or os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
+
+
 # --- vectors
 
 
@@ -33,34 +47,39 @@ def _query_vector(vectors: DataFrame, vec_id: int) -> list[float]:
     return [float(x) for x in row[0]] if row else []
 
 
+def _rounded(found: DataFrame) -> DataFrame:
+    """Scores as both engines print them; what is nearest was decided before."""
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query("""select vec_id, round(list_cosine_similarity(embedding::double[], q.e), 6) as score
-from embeddings, (select embedding::double[] as e from embeddings where vec_id = 0) q order by score desc, vec_id limit 10""")
+from embeddings, (select embedding::double[] as e from embeddings where vec_id = 0) q order by list_cosine_similarity(embedding::double[], q.e) desc, vec_id limit 10""")
 def similar_topk(spark, sf):
     v = read(spark, sf, "embeddings")
-    return search.similar(v, _query_vector(v, 0), 10, "vec_id")
+    return _rounded(search.similar(v, _query_vector(v, 0), 10, "vec_id"))
 
 
 @query("""select vec_id, round(list_cosine_similarity(embedding::double[], q.e), 6) as score
-from embeddings, (select embedding::double[] as e from embeddings where vec_id = 0) q where vec_id % 3 <> 0 order by score desc, vec_id limit 10""")
+from embeddings, (select embedding::double[] as e from embeddings where vec_id = 0) q where vec_id % 3 <> 0 order by list_cosine_similarity(embedding::double[], q.e) desc, vec_id limit 10""")
 def similar_after_delete(spark, sf):
     """Vectors whose nodes are deleted aren't found."""
     g = graph(spark, sf)
     dead = read(spark, sf, "embeddings").where("vec_id % 3 = 0").select(key("i", "vec_id").alias("node_id"))
     left = g.delete_nodes("Item", dead).embeddings["Item"].withColumn("vec_id", F.substring("node_id", 3, 18).cast("long"))
-    return search.similar(left, _query_vector(read(spark, sf, "embeddings"), 0), 10, "vec_id")
+    return _rounded(search.similar(left, _query_vector(read(spark, sf, "embeddings"), 0), 10, "vec_id"))
 
 
 @query("select vec_id, 0::double as score from embeddings where false")
 def similar_empty(spark, sf):
     v = read(spark, sf, "embeddings")
-    return search.similar(v.where("false"), _query_vector(v, 0), 10, "vec_id")
+    return _rounded(search.similar(v.where("false"), _query_vector(v, 0), 10, "vec_id"))
 
 
-@query("""with s as (select a.vec_id, b.vec_id as neighbour, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score
+@query("""with s as (select a.vec_id, b.vec_id as neighbour, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as score
 from embeddings a join embeddings b on a.vec_id <> b.vec_id)
-select vec_id, neighbour, score, "rank" from (select *, cast(row_number() over (partition by vec_id order by score desc, neighbour) as integer) as "rank" from s) where "rank" <= 5""")
+select vec_id, neighbour, round(score, 6) as score, "rank" from (select *, cast(row_number() over (partition by vec_id order by score desc, neighbour) as integer) as "rank" from s) where "rank" <= 5""")
 def knn_join(spark, sf):
-    return search.nearest_neighbours(read(spark, sf, "embeddings"), 5)
+    return _rounded(search.nearest_neighbours(read(spark, sf, "embeddings"), 5))
 
 
 _NEXT = "from embeddings a join embeddings b on b.vec_id = a.vec_id + 1"
@@ -172,15 +191,15 @@ def validate_edges_endpoints(spark, sf):
 
 
 @query("""with p as (select l_orderkey, l_partkey, sum(l_quantity) q, max(l_discount) d from lineitem group by 1, 2)
-select 'o:' || l_orderkey as from_id, 'p:' || l_partkey as to_id, 'quantity' as property, case when l_orderkey % 9 = 0 then 'required property is missing' else 'out of range' end as message from p where l_orderkey % 9 = 0 or q > 50
-union all select 'o:' || l_orderkey, 'p:' || l_partkey, 'discount', 'out of range' from p where d > 0.09""")
+select 'o:' || l_orderkey as from_id, 'p:' || l_partkey as to_id, 'quantity' as property, case when l_orderkey % 9 = 0 then 'required property is missing' else 'value ' || case when q = floor(q) then q::bigint::varchar else q::varchar end || ' out of range [1, 50]' end as message from p where l_orderkey % 9 = 0 or q > 50
+union all select 'o:' || l_orderkey, 'p:' || l_partkey, 'discount', 'value ' || d::varchar || ' out of range [0, 0.09]' from p where d > 0.09""")
 def validate_edge_props(spark, sf):
     e = graph(spark, sf).edges["CONTAINS"]
     absent = F.substring("from_id", 3, 18).cast("long") % 9 == 0
     props = F.when(absent, F.to_json(F.struct("discount"))).otherwise(F.to_json(F.struct("quantity", "discount")))
     raw = e.select(F.lit("CONTAINS").alias("edge_type"), F.lit("Order").alias("from_type"), "from_id", F.lit("Part").alias("to_type"), "to_id", props.alias("properties"))
     out = validate.validate_edges(raw, SCHEMA).select("from_id", "to_id", F.explode("errors").alias("e"))
-    return out.select("from_id", "to_id", "e.property", F.when(F.contains("e.message", F.lit("out of range")), "out of range").otherwise(F.col("e.message")).alias("message"))
+    return out.select("from_id", "to_id", "e.property", "e.message")
 
 
 @query("""select p_partkey, p_size::varchar as size_key, p_name as name_key, case when p_size > 20 then '1' else '0' end as big_key, null::varchar as price_key from part""")
@@ -345,12 +364,92 @@ def batch_discard(spark, sf):
     return graph(spark, sf).batch().add("delete_nodes", "Nation", gone).discard().nodes["Nation"]
 
 
-@query("select 'g10' as graph_id, count(*) as n from nation")
+@query("select 'g1' as graph_id, 0::bigint as n union all select 'g10', count(*) from nation")
 def clear_graph(spark, sf):
-    """Of two graphs with like names the one that is meant goes."""
+    """Of two stored graphs with like names the one that is meant is emptied; both stay."""
     nation = graph(spark, sf).nodes["Nation"]
-    both = nation.withColumn("graph_id", F.lit("g1")).union(nation.withColumn("graph_id", F.lit("g10")))
-    return both.where("graph_id <> 'g1'").groupBy("graph_id").agg(F.count("*").alias("n"))
+    r = store.Registry(spark, f"{scratch(spark)}/graphs-{uuid.uuid4().hex}")
+    for name in ("g1", "g10"):
+        g = r.create(name, SCHEMA)
+        r.save(name, type(g)(SCHEMA, {"Nation": nation}))
+    r.clear("g1")
+    out = [r.get(k).nodes.get("Nation", nation.limit(0)).agg(F.lit(k).alias("graph_id"), F.count("*").alias("n")) for k in r.list_ids()]
+    return out[0].unionByName(out[1])
+
+
+@query("""select 'c:' || c_custkey as node_id, c_name as name, case when c_custkey % 3 = 0 then 'standard' when c_custkey % 3 = 1 then null else 'gold' end as tier, case when c_custkey % 3 = 1 then true else null end as tier_is_null, null::varchar as property, null::varchar as message from customer where c_custkey % 5 <> 0
+union all select 'c:' || c_custkey, null, null, null, 'name', 'required property is missing' from customer where c_custkey % 5 = 0""")
+def create_node_defaults(spark, sf):
+    """New nodes with defaults; those that break the schema are refused."""
+    k = F.col("c_custkey")
+    tier = F.when(k % 3 == 0, "").when(k % 3 == 1, '"tier":null').otherwise('"tier":"gold"')
+    name = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit('"name":"'), "c_name", F.lit('"')))
+    raw = read(spark, sf, "customer").select(key("c", "c_custkey").alias("node_id"), F.concat(F.lit("{"), name, F.when((name != "") & (tier != ""), ",").otherwise(""), tier, F.lit("}")).alias("properties"))
+    done = type(graph(spark, sf))(SCHEMA).create_nodes("Customer", raw)
+    null = F.when(F.col("tier").isNull() & F.array_contains("_present", "tier"), True)
+    none = F.lit(None).cast("string")
+    good = done.graph.nodes["Customer"].select("node_id", "name", "tier", null.alias("tier_is_null"), none.alias("property"), none.alias("message"))
+    return good.unionByName(done.refused.select("node_id", none.alias("name"), none.alias("tier"), F.lit(None).cast("boolean").alias("tier_is_null"), "property", "message"))
+
+
+@query("""select 'n:' || n_nationkey as node_id, case when n_nationkey % 2 = 0 then 'again' else n_name end as name from nation where n_nationkey <> 4 union all select 'n:4', n_name from nation where n_nationkey = 4""")
+def replace_node_validated(spark, sf):
+    """Properties of known nodes are replaced; a row that breaks the schema and rows of unknown ids change nothing."""
+    k = F.col("n_nationkey")
+    raw = read(spark, sf, "nation").where("n_nationkey % 2 = 0").select(key("n", "n_nationkey").alias("node_id"), F.when(k == 4, '{"name":null}').otherwise('{"name":"again"}').alias("properties"))
+    stray = raw.withColumn("node_id", F.concat(F.lit("none-"), "node_id"))
+    return graph(spark, sf).replace_node_properties("Nation", raw.unionByName(stray)).graph.nodes["Nation"].select("node_id", "name")
+
+
+@query("""with p as (select l_orderkey o, l_partkey p, sum(l_quantity) q from lineitem group by 1, 2)
+select 'CONTAINS' as edge_type, 'o:' || o as from_id, 'p:' || p as to_id, q as quantity, null::varchar as message from p where q <= 50 and o % 5 <> 0
+union all select 'CONTAINS', 'o:' || o, 'p:' || p, null, 'Invalid edge: CONTAINS cannot connect Supplier to Part' from p where o % 5 = 0
+union all select 'CONTAINS', 'o:' || o, 'p:' || p, null, 'value ' || case when q = floor(q) then q::bigint::varchar else q::varchar end || ' out of range [1, 50]' from p where q > 50 and o % 5 <> 0""")
+def create_edge_validated(spark, sf):
+    """New edges whose ends and properties fit the schema; the others are refused."""
+    wrong = F.substring("from_id", 3, 18).cast("long") % 5 == 0
+    raw = graph(spark, sf).edges["CONTAINS"].select(F.lit("CONTAINS").alias("edge_type"), F.when(wrong, "Supplier").otherwise("Order").alias("from_type"), "from_id", F.lit("Part").alias("to_type"), "to_id", F.to_json(F.struct("quantity")).alias("properties"))
+    done = type(graph(spark, sf))(SCHEMA).create_edges(raw)
+    good = done.graph.edges["CONTAINS"].select(F.lit("CONTAINS").alias("edge_type"), "from_id", "to_id", "quantity", F.lit(None).cast("string").alias("message"))
+    return good.unionByName(done.refused.select("edge_type", "from_id", "to_id", F.lit(None).cast("double").alias("quantity"), "message"))
+
+
+@query("select 'c:' || c_custkey as node_id, true as existed from customer where c_mktsegment = 'BUILDING' union all select 'c:none', false")
+def delete_node_existed(spark, sf):
+    """What a delete answers: whether each id was there."""
+    g = graph(spark, sf)
+    ids = g.nodes["Customer"].where("segment = 'BUILDING'").select("node_id").union(spark.createDataFrame([("c:none",)], "node_id string"))
+    return g.nodes_existed("Customer", ids)
+
+
+@query("select 'i:' || vec_id as node_id, cast(len(embedding) as integer) as dim, round(embedding[1]::double, 6) as first from embeddings where vec_id in (3, 7)")
+def get_embedding(spark, sf):
+    got = graph(spark, sf).get_embedding("Item", ["i:3", "i:7", "i:none"])
+    return got.select("node_id", F.size("embedding").alias("dim"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
+
+
+@query("select vec_id, vec_id % 4 <> 0 as found from embeddings union all select -1, false")
+def index_contains(spark, sf):
+    """Of an approximate index after a quarter of its vectors is removed."""
+    v = read(spark, sf, "embeddings")
+    index = VectorIndex.build(v).remove(v.where("vec_id % 4 = 0").select("vec_id"))
+    return index.contains(v.select(F.col("vec_id").cast("long").alias("vec_id")).union(spark.createDataFrame([(-1,)], "vec_id long")))
+
+
+@query("select count(*) as vectors, 64 as dim, true as whole from embeddings")
+def index_stats(spark, sf):
+    """Every vector is indexed, after an insert that brings a half of them again."""
+    v = read(spark, sf, "embeddings")
+    stats_ = VectorIndex.build(v).insert(v.where("vec_id % 2 = 0")).stats()
+    return stats_.select("vectors", "dim", (F.col("probes").between(1, F.col("cells")) & (F.col("largest") <= F.col("vectors"))).alias("whole"))
+
+
+@query("select true as nine_tenths")
+def index_recall(spark, sf):
+    """Measured against the exact neighbours of every vector whose id is divisible by 100."""
+    v = read(spark, sf, "embeddings")
+    got = VectorIndex.build(v).recall(10, v.where("vec_id % 100 = 0"))
+    return spark.createDataFrame([(got >= 0.9,)], "nine_tenths boolean")
 
 
 @query("select o_custkey as c_custkey, arg_max(o_orderstatus, o_orderkey) as last_status from orders group by 1")
@@ -407,7 +506,7 @@ def resolve_candidates(spark, sf):
     from pyspark.sql import Window
 
     queries, existing = _resolver_input(spark, sf)
-    out = resolve.candidates(queries.select("query_id", "query"), existing.select("id", "name", "pos"))
+    out = resolve.candidates(queries, existing)
     return out.select("query_id", "id", "score", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")).alias("place"))
 
 

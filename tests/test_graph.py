@@ -1,5 +1,9 @@
 import json
+import math
+import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +89,73 @@ def test_filters(graph):
     assert coerce(SCHEMA, "Item", "ok", "true") is True
 
 
+@pytest.mark.parametrize("text", ["1_0", " 7 ", "99999999999999999999", "", "+", "1.0", "0x1", "٣"])
+def test_whole_numbers_are_those_of_64_bits(text):
+    with pytest.raises(GraphError):
+        coerce(SCHEMA, "Item", "level", text)
+    assert [coerce(SCHEMA, "Item", "level", x) for x in ("-3", "+4", "007", str(2**63 - 1), str(-(2**63)))] == [-3, 4, 7, 2**63 - 1, -(2**63)]
+
+
+def test_graph_ids(spark):
+    names = ["abc", "a-b_C9", "abc\n", "", "a b", "x" * 100, "x" * 101, None]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(validate.valid_graph_id(F.col("n"))).collect()
+    assert [r[0] for r in got] == [True, True, False, False, False, True, False, False]
+
+
+def test_many_defaults_plan_quickly(spark):
+    """The expression grows with the number of defaults; absent ones are filled at once."""
+    schema = Schema.of({"name": "d", "node_types": {"N": {"properties": {f"p{i}": {"type": "int", "default": i, "range": [0, 5]} for i in range(12)} | {"odd name": {"type": "string", "default": 'say "x"'}}}}})
+    rows = spark.createDataFrame([("a", "{}"), ("b", ' { "p3" : null, "more": [1] } \n'), ("c", None)], "node_id string, properties string")
+    began = time.time()
+    out = validate.validate_nodes(rows, schema, "N")
+    out._jdf.queryExecution().executedPlan()
+    assert time.time() - began < 5 and len(out._jdf.queryExecution().analyzed().toString()) < 60_000
+    got = {r.node_id: (json.loads(r.properties), [(e["property"], e["message"]) for e in r.errors]) for r in out.collect()}
+    full = {f"p{i}": i for i in range(12)} | {"odd name": 'say "x"'}
+    wrong = [(f"p{i}", f"value {i} out of range [0, 5]") for i in sorted(range(6, 12), key=str)]
+    assert got == {"a": (full, wrong), "b": (full | {"p3": None, "more": [1]}, wrong), "c": (full, wrong)}
+
+
+def test_create_and_replace_are_checked(spark):
+    raw = lambda *rows: spark.createDataFrame([(i, json.dumps(p) if p is not None else None, k) for k, (i, p) in enumerate(rows)], "node_id string, properties string, seq int")
+    done = Graph(SCHEMA).create_nodes("Item", raw(("a", {"name": "one", "level": 3, "more": 1}), ("b", {"level": 3}), ("c", {"name": "x", "level": 12, "kind": "z"}), ("a", {"name": "two", "tag": None}), ("d", None)))
+    stored = {r.node_id: (r["name"], r.level, r.tier, list(r._present)) for r in done.stored.collect()}
+    assert stored == {"a": ("two", None, "standard", ["name", "tag", "tier"])}
+    assert sorted((r.node_id, r.property) for r in done.refused.collect()) == [("b", "name"), ("c", "kind"), ("c", "level"), ("d", "name")]
+    again = done.graph.replace_node_properties("Item", raw(("a", {"name": "three", "tier": "gold"}), ("zz", {"name": "nobody"}), ("a", {"name": 5})))
+    assert {r.node_id: (r["name"], r.tier, r.tag) for r in again.graph.nodes["Item"].collect()} == {"a": ("three", "gold", None)}
+    assert [(r.node_id, r.property, r.message) for r in again.refused.collect()] == [("a", "name", "expected type String, got int")]
+    for f in (Graph(SCHEMA).create_nodes, Graph(SCHEMA).replace_node_properties):
+        with pytest.raises(GraphError) as e:
+            f("Nothing", raw(("a", {})))
+        assert e.value.kind == "unknown_node_type"
+    assert Graph(SCHEMA).replace_node_properties("Item", raw(("a", {"name": "x"}))).stored.count() == 0
+
+
+def test_create_edges_is_checked(graph, spark):
+    rows = [("LIKES", "Item", "a", "Item", "c", {"weight": 0.25}, 1), ("LIKES", "Item", "a", "Item", "b", {"weight": 7.5}, 1), ("LIKES", "Item", "b", "Other", "c", {}, 1), ("HATES", "Item", "a", "Item", "c", {}, 1), ("LIKES", "Item", "a", "Item", "c", {"source": "later"}, 2)]
+    raw = spark.createDataFrame([(*r[:5], json.dumps(r[5]), r[6]) for r in rows], "edge_type string, from_type string, from_id string, to_type string, to_id string, properties string, seq int")
+    done = graph.create_edges(raw)
+    got = {(r.from_id, r.to_id): (r.weight, r.source) for r in done.graph.edges["LIKES"].collect()}
+    assert got == {("a", "b"): (0.5, "s"), ("b", "c"): (0.1, None), ("c", "gone"): (0.2, None), ("a", "c"): (None, "later")}
+    assert [(r.edge_type, r.from_id, r.to_id, json.loads(r.properties)) for r in done.stored.collect()] == [("LIKES", "a", "c", {"source": "later"})]
+    assert sorted((r.edge_type, r.to_id, r.property, r.message) for r in done.refused.collect()) == sorted([
+        ("LIKES", "b", "weight", "value 7.5 out of range [0, 1]"), ("LIKES", "c", None, "Invalid edge: LIKES cannot connect Item to Other"), ("HATES", "c", None, "Unknown edge type: HATES"),
+    ], key=lambda x: (x[0], x[1]))
+
+
+def test_what_deletes_answer_and_single_vectors(graph, spark):
+    keys = spark.createDataFrame([("a",), ("zz",), ("a",)], "node_id string")
+    assert {r.node_id: r.existed for r in graph.nodes_existed("Item", keys).collect()} == {"a": True, "zz": False}
+    assert {r.node_id: r.existed for r in graph.embeddings_existed("Item", keys).collect()} == {"a": True, "zz": False}
+    assert {r.node_id: r.existed for r in graph.nodes_existed("Nothing", keys).collect()} == {"a": False, "zz": False}
+    ends = spark.createDataFrame([("a", "b"), ("b", "a")], "from_id string, to_id string")
+    assert {r.from_id: r.existed for r in graph.edges_existed("LIKES", ends).collect()} == {"a": True, "b": False}
+    assert [r.node_id for r in graph.get_embedding("Item", ["a", "zz"]).collect()] == ["a"]
+    with pytest.raises(GraphError):
+        graph.get_embedding("Nothing", ["a"])
+
+
 def test_adjacency_and_dangling(graph):
     assert ids(graph.outgoing("a"), "to_id") == ["b"] and ids(graph.incoming("c"), "from_id") == ["b"]
     assert ids(graph.dangling_edges(), "to_id") == ["gone"]
@@ -133,25 +204,139 @@ def test_cosine_of_zero_and_opposite(spark):
     assert tuple(one) == (32.0, [4.0, 10.0, 18.0], 5.0)
 
 
-@pytest.mark.parametrize(
-    ("a", "b", "jw", "ts"),
-    [
-        ("martha", "marhta", 96, 96), ("dwayne", "duane", 84, 84), ("Marcus Whitfield", "Marcus Whitfeld", 99, 99), ("the professor", "Professor Whitfield", 64, 92),
-        ("Edwin Whitfield", "Professor Edwin Whitfield", 72, 87), ("Smith, John", "John Smith", 52, 98), ("Alice Smyth", "Alice Johnson", 84, 84), ("abc", "xyz", 0, 0), ("", "", 100, 100), ("hello", "", 0, 0),
-    ],
-)
-def test_name_scores(a, b, jw, ts):
-    from loomgraph.functions.fuzzy import jaro_winkler_score, token_sort_score
+def plain_jaro_winkler(a, b):
+    """One pair at a time, character by character."""
+    a, b = a.lower(), b.lower()
+    if a == b:
+        j = 1.0
+    else:
+        reach, used, left = max(max(len(a), len(b)) // 2 - 1, 0), set(), []
+        for i, c in enumerate(a):
+            for k in range(max(0, i - reach), min(len(b), i + reach + 1)):
+                if k not in used and b[k] == c:
+                    used.add(k)
+                    left.append(c)
+                    break
+        right, m = [b[k] for k in sorted(used)], len(left)
+        j = (m / len(a) + m / len(b) + (m - sum(x != y for x, y in zip(left, right, strict=True)) / 2) / m) / 3 if m else 0.0
+    same = 0
+    while same < min(4, len(a), len(b)) and a[same] == b[same]:
+        same += 1
+    return math.floor((j + same * 0.1 * (1 - j)) * 100 + 0.5)
+
+
+def plain_score(a, b):
+    ordered = lambda x: " ".join(sorted(x.split()))
+    return max(plain_jaro_winkler(a, b), plain_jaro_winkler(ordered(a), ordered(b)))
+
+
+def made_up_names(n, seed=3):
+    """Names of few parts, so that many are alike: with swapped words, dropped and doubled letters."""
+    rnd, out = random.Random(seed), set()
+    while len(out) < n:
+        words = [rnd.choice(["Brass", "brasse", "copper", "coper", "tin", "Ölkanne", "valve", "valves", "hinge", "x"]) for _ in range(rnd.randrange(1, 4))]
+        name = " ".join(words)
+        if rnd.random() < 0.4:
+            k = rnd.randrange(len(name))
+            name = name[:k] + name[k] * rnd.choice([0, 2]) + name[k + 1 :]
+        out.add(name)
+    return sorted(out)
+
+
+def test_textbook_pairs():
+    from loomgraph.functions import fuzzy
+
+    pairs = {("martha", "marhta"): 96, ("dwayne", "duane"): 84, ("abc", "xyz"): 0, ("", ""): 100, ("word", ""): 0, ("A", "a"): 100}
+    assert {(a, b): fuzzy.jaro_winkler_score(a, b) for a, b in pairs} == pairs
+    assert fuzzy.token_sort_score("valve brass", "brass valve") == 100 > fuzzy.jaro_winkler_score("valve brass", "brass valve")
+
+
+def test_name_scores_and_their_bound_against_single_pairs():
+    from loomgraph.functions import fuzzy
+
+    names = [*made_up_names(120), "", " ", "a" * 70]
+    pairs = [(a, b) for a in names for b in names]
+    want = np.array([plain_score(a, b) for a, b in pairs])
+    assert fuzzy.name_scores(*map(list, zip(*pairs, strict=True))).tolist() == want.tolist()
+    most = fuzzy.Bags(names).most(fuzzy.Bags(names)).ravel()
+    assert (most >= want).all() and (most < 70).any()
+
+
+def test_candidates_and_tiers_against_all_pairs(spark, monkeypatch):
+    """With small blocks, so that queries and names meet in many tasks."""
+    monkeypatch.setattr(resolve, "BLOCK", 20), monkeypatch.setattr(resolve, "GROUP", 50), monkeypatch.setattr(resolve, "CHUNK", 7)
+    rng = np.random.default_rng(5)
+    names = made_up_names(130)
+    have = [(f"e{i}", n, i, rng.normal(size=3).tolist() if i % 5 else None) for i, n in enumerate(names[:90] + names[:10])]
+    asks = [(f"q{i}", n, rng.normal(size=3).tolist() if i % 7 else None) for i, n in enumerate([*names[60:], "zzzz", "", None])]
+    existing = spark.createDataFrame(have, "id string, name string, pos long, embedding array<double>")
+    queries = spark.createDataFrame(asks, "query_id string, query string, query_embedding array<double>")
+    score = {(q, e): plain_score(n, m) for q, n, _ in asks if n is not None for e, m, *_ in have}
+    for least in (0, 75):
+        got = [((r.query_id, r.id), r.score) for r in resolve.candidates(queries, existing, least).collect()]
+        assert dict(got) == {k: v for k, v in score.items() if v >= least} and len(got) == len(dict(got))
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    t = resolve.Thresholds(70, 0.5, 96)
+    want, plain = {}, {}
+    for q, n, v in asks:
+        best = max(((score[q, e], -pos, e) for e, _, pos, _ in have), default=None) if n is not None else None
+        near = max(((cos(v, w), pos, e) for e, _, pos, w in have if v and w and score[q, e] >= 70), default=None) if n is not None else None
+        new = ("create_new", None)
+        plain[q] = (*(("auto_merge", best[2]) if best and best[0] >= 96 else new), best[0] if best else 0)
+        want[q] = (*(("auto_merge", best[2]) if best and best[0] >= 96 else ("vector_merge", near[2]) if best and best[0] >= 70 and near and near[0] >= 0.5 else new), best[0] if best else 0)
+    read = lambda df: {r.query_id: (r.decision, r.id, r.best_score) for r in df.collect()}
+    assert read(resolve.resolve(queries, existing, t)) == want and {w[0] for w in want.values()} == {"auto_merge", "vector_merge", "create_new"}
+    assert read(resolve.resolve(queries.drop("query_embedding"), existing, t)) == plain
+    assert {r.decision for r in resolve.resolve(queries, existing.limit(0)).collect()} == {"create_new"}
+
 
-    assert (jaro_winkler_score(a, b), token_sort_score(a, b)) == (jw, ts)
+def test_thresholds_of_a_type():
+    assert resolve.Thresholds.of(None) == resolve.Thresholds(70, float(np.float32(0.85)), 90)
+    assert resolve.Thresholds.of({"fuzzy_threshold": 50, "vector_threshold": 0.5, "auto_merge_threshold": 60}) == resolve.Thresholds(50, 0.5, 60)
+
+
+# --- search
+
+
+def test_the_nearest_of_almost_equal_vectors(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0004]), (2, [1.0, 0.0001]), (3, [1.0, 0.0002]), (4, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in search.similar(rows, [1.0, 0.0], 2, "vec_id").collect()] == [2, 3]
+    got = {(r.vec_id, r["rank"]): r.neighbour for r in search.nearest_neighbours(rows, 2).collect()}
+    assert got[2, 1] == 3 and got[2, 2] == 1 and got[1, 1] == 3 and got[3, 1] == 2
+
+
+def test_neighbours_and_index_against_all_pairs(spark, monkeypatch):
+    """Small blocks and groups; clustered vectors, with a null and an empty one, and one that comes twice."""
+    from loomgraph.operators.index import IndexConfig, VectorIndex
+
+    monkeypatch.setattr(search, "BLOCK", 40), monkeypatch.setattr(search, "GROUP", 90)
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(30, 8)), 12, axis=0) + rng.normal(size=(360, 8)) * 0.3
+    x[7] = x[8]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [])], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -3)
+    want = {(i, int(j)) for i in range(360) for j in np.lexsort((np.arange(360), -s[i]))[:5]}
+    assert {(r.vec_id, r.neighbour) for r in search.nearest_neighbours(rows, 5).collect()} == want
+    some = rows.where("vec_id % 100 = 0")
+    assert {(r.vec_id, r.neighbour) for r in search.nearest_neighbours(rows, 5, queries=some).collect()} == {p for p in want if p[0] % 100 == 0}
+    index = VectorIndex.build(rows, IndexConfig(sample=200, recall=0.95))
+    assert index.stats().head()["vectors"] == 360 and 1 <= index.probes < len(index.centres)
+    got = {(r.vec_id, r.neighbour) for r in index.neighbours(5).collect()}
+    assert len(got & want) >= 0.9 * len(want) and index.recall(5, some) >= 0.9
+    assert [r.vec_id for r in index.search(x[3].tolist(), 1).collect()] == [3]
+    index = index.remove(spark.createDataFrame([(3,)], "vec_id long")).insert(spark.createDataFrame([(500, x[3].tolist())], "vec_id long, embedding array<double>"))
+    assert [r.vec_id for r in index.search(x[3].tolist(), 1).collect()] == [500]
+    assert {r.vec_id: r.found for r in index.contains(spark.createDataFrame([(3,), (4,), (500,)], "vec_id long")).collect()} == {3: False, 4: True, 500: True}
+    for q in ([], [1.0]):
+        with pytest.raises(GraphError):
+            index.search(q, 1)
+    with pytest.raises(GraphError):
+        VectorIndex.build(rows.limit(0))
 
 
-def test_resolver_tiers(spark):
-    existing = spark.createDataFrame([("id1", "Professor Edwin Whitfield", 1, [0.9, 0.1, 0.0]), ("id2", "Bob Wilson", 2, [0.0, 1.0, 0.0])], "id string, name string, pos long, embedding array<double>")
-    queries = spark.createDataFrame([("auto", "Bob Wilson", [1.0, 0.0, 0.0]), ("near", "Edwin Whitfield", [0.85, 0.15, 0.0]), ("far", "Edwin Whitfield", [0.0, 0.0, 1.0]), ("new", "Xylophone", [0.0, 1.0, 0.0])], "query_id string, query string, query_embedding array<double>")
-    got = {r.query_id: (r.decision, r.id) for r in resolve.resolve(queries, existing).collect()}
-    assert got == {"auto": ("auto_merge", "id2"), "near": ("vector_merge", "id1"), "far": ("create_new", None), "new": ("create_new", None)}
-    assert {r.decision for r in resolve.resolve(queries, existing.limit(0)).collect()} == {"create_new"}
+# --- statistics
 
 
 def test_statistics(spark):
@@ -189,6 +374,57 @@ def test_registry(spark, graph, tmp_path):
         again.get("g1")
 
 
+def test_a_save_writes_what_changed_and_cleans_up(spark, graph, tmp_path):
+    r = Registry(spark, str(tmp_path))
+    r.create("g", SCHEMA)
+    r.save("g", graph)
+    tables = lambda: {p.name for p in (tmp_path / "g" / "tables").iterdir()}
+    first, reader = tables(), r.get("g").nodes["Item"]
+    r.save("g", r.get("g").delete_edges("LIKES", spark.createDataFrame([("a", "b")], "from_id string, to_id string")))
+    second = tables()
+    assert {x.split("-")[0] for x in second - first} == {"edges"} and first < second and reader.count() == 3
+    r.save("g", r.get("g").upsert_nodes("Item", spark.createDataFrame([("n", "x", 1)], "node_id string, tag string, level long")))
+    assert len(tables()) == 4 and len([p for p in (tmp_path / "g").iterdir() if p.name.startswith("state-")]) == 2
+    other = Registry(spark, str(tmp_path))
+    other.rehydrate()
+    assert ids(other.get("g").nodes["Item"]) == ids(r.get("g").nodes["Item"]) == ["a", "b", "c", "n"]
+
+
+def test_a_crash_before_the_state_is_in_place_changes_nothing(spark, graph, tmp_path, monkeypatch):
+    r = Registry(spark, str(tmp_path))
+    r.create("g", SCHEMA)
+    r.save("g", graph)
+
+    def crash(*_):
+        raise OSError("gone")
+
+    monkeypatch.setattr(r.files, "write", crash)
+    with pytest.raises(OSError, match="gone"):
+        r.save("g", r.get("g").delete_nodes("Item", spark.createDataFrame([("a",)], "node_id string")))
+    other = Registry(spark, str(tmp_path))
+    assert other.rehydrate() == ["g"] and ids(other.get("g").nodes["Item"]) == ["a", "b", "c"]
+    (tmp_path / "g" / "state-9.0.new").write_text("half of a sta")  # what a crash within a write leaves
+    assert Registry(spark, str(tmp_path)).rehydrate() == ["g"]
+    with pytest.raises(GraphError) as e:  # a second writer's state is never written over
+        other.files.write("g/state-2", "{}")
+    assert e.value.kind == "conflict"
+
+
+def test_a_broken_graph_is_an_error(spark, graph, tmp_path):
+    import shutil
+
+    r = Registry(spark, str(tmp_path))
+    r.create("good", SCHEMA), r.create("torn", SCHEMA)
+    r.save("torn", graph)
+    shutil.rmtree(next(p for p in (tmp_path / "torn" / "tables").iterdir() if p.name.startswith("nodes")))
+    with pytest.raises(GraphError) as e:
+        Registry(spark, str(tmp_path)).rehydrate()
+    assert e.value.kind == "storage"
+    (tmp_path / "torn" / "state-2").write_text("{")
+    with pytest.raises(GraphError):
+        Registry(spark, str(tmp_path)).rehydrate()
+
+
 def test_stream_of_changes(spark, tmp_path):
     r = Registry(spark, str(tmp_path / "graphs"))
     r.create("g", SCHEMA)

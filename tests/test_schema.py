@@ -1,119 +1,161 @@
+"""Schemas, on the orders graph that the queries use and on small ones made where they are needed."""
+
+import hashlib
 import json
 
 import pytest
 
-from loomgraph.plans.schema import GraphError, Schema
-
-BASE = """
-schema:
-  name: story
-  version: 1
-  node_types:
-    Character:
-      properties:
-        name: {type: string, required: true, indexed: true}
-        role: {type: enum, values: [protagonist, antagonist, supporting]}
-        age: {type: int}
-        score: {type: float, range: [0, 1]}
-      embedding_field: description
-      resolution: {strategy: fuzzy_then_vector}
-    Location: {properties: {name: {type: string, required: true}}}
-  edge_types:
-    KNOWS: {from: Character, to: Character, properties: {since: {type: string}}}
-    VISITS: {from: Character, to: Location}
-  extraction_modes: {standard: {include: [Character, Location]}}
-"""
-
-
-@pytest.fixture
-def schema():
-    return Schema.from_yaml(BASE)
-
-
-def test_reading(schema):
-    assert schema.node_types["Character"].resolution == {"strategy": "fuzzy_then_vector", "fuzzy_threshold": 70, "vector_threshold": 0.85, "auto_merge_threshold": 90}
-    assert schema.extraction_modes["standard"]["max_tokens"] == 4096
-    assert Schema.from_json(json.dumps(schema.json())).content_hash() == schema.content_hash()
-    with pytest.raises(GraphError):
-        Schema.from_yaml("name: x\nnode_types: {A: {properties: {p: {type: decimal}}}}")
-    with pytest.raises(GraphError):
-        Schema.from_yamls([])
-
-
-def test_endpoints(schema):
-    with pytest.raises(GraphError):
-        Schema.from_yaml(BASE.replace("to: Location", "to: Loction"))
-    schema.validate_edge("KNOWS", "Character", "Character")
-    for args, kind in ((("KNOWS", "Character", "Location"), "invalid_edge"), (("LIKES", "Character", "Location"), "unknown_edge_type")):
-        with pytest.raises(GraphError) as e:
-            schema.validate_edge(*args)
-        assert e.value.kind == kind
-
-
-def test_merge_keeps_what_is_there(schema):
-    over = Schema.from_yaml("""
-name: over
-node_types:
-  Character: {properties: {name: {type: int}, mood: {type: string}}, extraction_hint: look closely}
-  Item: {}
-edge_types: {KNOWS: {pass_1_extractable: true, inference_category: social}}
-extraction_modes: {standard: {include: "*", max_tokens: 10}}
-""")
-    got = schema.merge(over)
-    assert got.name == "story" and got.node_types["Character"].properties["name"].type == "string"
-    assert "mood" in got.node_types["Character"].properties and "Item" in got.node_types
-    assert got.node_types["Character"].extraction_hint == "look closely" and got.node_types["Character"].embedding_field == "description"
-    assert got.edge_types["KNOWS"].source == "Character" and got.edge_types["KNOWS"].pass_1_extractable
-    assert got.extraction_modes["standard"]["max_tokens"] == 10
-    assert "mood" not in schema.node_types["Character"].properties
-
-
-def test_ensure(schema):
-    assert schema.ensure_node_type("Item") and not schema.ensure_node_type("Item")
-    assert schema.ensure_edge_type("OWNS") and not schema.ensure_edge_type("OWNS")
-    assert schema.ensure_node_property("Item", "size", {"type": "int"}) and not schema.ensure_node_property("Item", "size", {"type": "int"})
-    with pytest.raises(GraphError):
-        schema.ensure_node_property("Nothing", "size", {"type": "int"})
-
-
-def test_reports(schema):
-    assert schema.indexed_properties("Character") == ["name"] and schema.indexed_properties("Nothing") == []
-    assert schema.has_indexed_properties("Character") and not schema.has_indexed_properties("Location")
-    text = schema.summary().split("\n")
-    assert text[0] == "Schema: story (v1)"
-    assert "  Character — age: Int, name: String (required), role: Enum, score: Float" in text
-    assert '  KNOWS — Single("Character") -> Single("Character")' in text
+from loomgraph.plans.schema import WIRE_VERSION, GraphError, Schema
+from loomgraph.sources.tables import SCHEMA
+
+
+def copy_of(schema=SCHEMA):
+    return Schema.of(schema.json())
+
+
+def refused(kind, f, *args):
+    with pytest.raises(GraphError) as e:
+        f(*args)
+    assert e.value.kind == kind
+
+
+# --- reading
+
+
+def test_yaml_and_json_give_one_schema():
+    text = "name: s\nnode_types: {A: {properties: {n: {type: int, range: [1, 2]}}}}\nedge_types: {E: {to: [A]}}"
+    one = Schema.from_yaml(text)
+    assert Schema.from_json(json.dumps(one.json())).json() == one.json()
+    assert Schema.from_yaml("schema:\n  " + text.replace("\n", "\n  ")).json() == one.json()
+    assert (one.version, one.edge_types["E"].source, one.edge_types["E"].target, one.node_types["A"].properties["n"].range) == (1, "*", ["A"], (1.0, 2.0))
+
+
+def test_resolution_and_modes_have_their_defaults():
+    r = Schema.of({"name": "s", "node_types": {"P": {"resolution": {"fuzzy_threshold": 55}}}, "extraction_modes": {"fast": {}, "all": {"max_tokens": 9}}})
+    assert r.node_types["P"].resolution == {"strategy": "fuzzy_then_vector", "fuzzy_threshold": 55, "vector_threshold": 0.85, "auto_merge_threshold": 90}
+    assert r.extraction_modes == {"fast": {"include": "*", "max_tokens": 4096}, "all": {"include": "*", "max_tokens": 9}}
+
+
+@pytest.mark.parametrize("types", [{"P": {"properties": {"x": {"type": "decimal"}}}}, {"P": {"resolution": {"strategy": "guess"}}}])
+def test_unknown_types_and_strategies(types):
+    refused("validation", Schema.of, {"name": "s", "node_types": types})
+
+
+def test_several_texts_are_laid_over_each_other():
+    parts = ["name: a\nedge_types: {OWNS: {from: Shop, to: Lamp}}", "name: b\nnode_types: {Shop: {}}", "name: c\nnode_types: {Lamp: {}}"]
+    got = Schema.from_yamls(parts)  # the first alone would name unknown types
+    assert got.name == "a" and sorted(got.node_types) == ["Lamp", "Shop"]
+    refused("validation", Schema.from_yamls, parts[:2])
+    refused("validation", Schema.from_yamls, [])
+
+
+# --- merging and adding
+
+
+def test_merge_adds_and_never_replaces_properties():
+    over = Schema.of({
+        "name": "over", "node_types": {"Part": {"properties": {"size": {"type": "string"}, "weight": {"type": "float"}}, "extraction_hint": "read the label"}, "Crate": {}},
+        "edge_types": {"LIVES_IN": {"inference_category": "home", "pass_1_extractable": True}},
+    })
+    before = SCHEMA.json()
+    got = SCHEMA.merge(over)
+    part, edge = got.node_types["Part"], got.edge_types["LIVES_IN"]
+    assert (part.properties["size"].type, part.properties["weight"].type, part.extraction_hint, part.embedding_field) == ("int", "float", "read the label", "name")
+    assert (edge.source, edge.target, edge.inference_category, edge.pass_1_extractable) == ("Customer", "Nation", "home", True)
+    assert "Crate" in got.node_types and got.name == SCHEMA.name and SCHEMA.json() == before
+
+
+def test_ensure_says_whether_it_added():
+    s = copy_of()
+    for add in (lambda: s.ensure_node_type("Crate"), lambda: s.ensure_edge_type("STORED_IN", {"from": "Part", "to": "Crate"}), lambda: s.ensure_node_property("Crate", "depth", {"type": "float"})):
+        assert add() and not add()
+    refused("unknown_node_type", s.ensure_node_property, "Barrel", "depth", {"type": "float"})
+
+
+# --- checks
+
+
+def test_ends_of_edges():
+    for args, kind in ((("PLACED", "Supplier", "Order"), "invalid_edge"), (("PLACED", "Customer", "Part"), "invalid_edge"), (("RETURNED", "Customer", "Order"), "unknown_edge_type")):
+        refused(kind, SCHEMA.validate_edge, *args)
+    SCHEMA.validate_edge("PLACED", "Customer", "Order")
+    refused("validation", Schema.of, {"name": "s", "node_types": {"Part": {}}, "edge_types": {"FITS": {"from": "Part", "to": ["Part", "Prat"]}}})
+
+
+def evolve(change):
+    d = SCHEMA.json()
+    change(d)
+    return SCHEMA.incompatibilities(Schema.of(d, check=False))
 
 
 @pytest.mark.parametrize(
     ("change", "want"),
     [
-        (lambda d: d["node_types"].pop("Location") and d["edge_types"].pop("VISITS"), {"removed node type: Location", "removed edge type: VISITS"}),
-        (lambda d: d["node_types"]["Character"]["properties"].pop("age"), {"removed node property: Character.age"}),
-        (lambda d: d["node_types"]["Character"]["properties"]["age"].update(type="float"), {"changed node property type: Character.age Int -> Float"}),
-        (lambda d: d["node_types"]["Character"]["properties"]["age"].update(required=True), {"node property became required without a default: Character.age"}),
-        (lambda d: d["node_types"]["Character"]["properties"]["age"].update(required=True, default=3), set()),
-        (lambda d: d["edge_types"]["KNOWS"]["properties"].pop("since"), {"removed edge property: KNOWS.since"}),
-        (lambda d: d["edge_types"]["VISITS"].update({"from": ["Character", "Location"]}), set()),
-        (lambda d: d["edge_types"]["VISITS"].update({"to": "Character"}), {"edge `to` endpoint narrowed: VISITS"}),
-        (lambda d: d["edge_types"]["VISITS"].update({"to": "*"}), set()),
-        (lambda d: d["node_types"]["Character"]["properties"]["name"].update(required=False), set()),
-        (lambda d: d["node_types"]["Character"]["properties"]["role"].update(values=["antagonist"]), set()),
+        (lambda d: d["node_types"].pop("Item"), ["removed node type: Item"]),
+        (lambda d: d["edge_types"].pop("PLACED"), ["removed edge type: PLACED"]),
+        (lambda d: d["node_types"]["Order"]["properties"].pop("total"), ["removed node property: Order.total"]),
+        (lambda d: d["edge_types"]["CONTAINS"]["properties"].pop("discount"), ["removed edge property: CONTAINS.discount"]),
+        (lambda d: d["node_types"]["Supplier"]["properties"]["solvent"].update(type="int"), ["changed node property type: Supplier.solvent Bool -> Int"]),
+        (lambda d: d["edge_types"]["CONTAINS"]["properties"]["quantity"].update(type="int"), ["changed edge property type: CONTAINS.quantity Float -> Int"]),
+        (lambda d: d["node_types"]["Part"]["properties"]["brand"].update(required=True), ["node property became required without a default: Part.brand"]),
+        (lambda d: d["edge_types"]["CONTAINS"]["properties"]["discount"].update(required=True), ["edge property became required without a default: CONTAINS.discount"]),
+        (lambda d: d["edge_types"]["SUPPLIES"].update({"from": "Nation"}), ["edge `from` endpoint narrowed: SUPPLIES"]),
+        (lambda d: d["edge_types"]["SUPPLIES"].update(to="Order"), ["edge `to` endpoint narrowed: SUPPLIES"]),
     ],
 )
-def test_evolution(schema, change, want):
-    d = schema.json()
-    change(d)
-    assert set(schema.incompatibilities(Schema.of(d, check=False))) == want
+def test_each_kind_of_break(change, want):
+    assert evolve(change) == want
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        lambda d: d["node_types"].update(Crate={}),
+        lambda d: d["edge_types"]["SUPPLIES"].update({"from": ["Customer", "Supplier"], "to": "*"}),
+        lambda d: d["node_types"]["Part"]["properties"]["brand"].update(required=True, default="none"),
+        lambda d: d["node_types"]["Part"]["properties"]["name"].update(required=False),
+        lambda d: d["node_types"]["Customer"]["properties"]["segment"].update(values=["BUILDING"]),
+        lambda d: d["node_types"]["Part"]["properties"]["size"].update(range=[5, 6]),
+    ],
+)
+def test_what_breaks_nothing(change):
+    assert evolve(change) == []
+
+
+def test_several_breaks_come_in_order_of_text():
+    got = evolve(lambda d: (d["node_types"].pop("Item"), d["edge_types"].pop("PLACED"), d["node_types"]["Part"]["properties"].pop("size")))
+    assert got == sorted(got) and len(got) == 3
+
+
+def test_any_end_is_wider_than_every_list():
+    wide, narrow = (Schema.of({"name": "s", "node_types": {"P": {}}, "edge_types": {"E": {"to": t}}}) for t in ("*", ["P"]))
+    assert wide.incompatibilities(narrow) == ["edge `to` endpoint narrowed: E"] and narrow.incompatibilities(wide) == []
+
+
+# --- reports
+
+
+def test_lists():
+    assert SCHEMA.indexed_properties("Part") == ["brand", "name", "size"] and SCHEMA.indexed_properties("Barrel") == []
+    assert SCHEMA.has_indexed_properties("Item") and not SCHEMA.has_indexed_properties("Order")
+    assert SCHEMA.inference_edge_types() == ["LIVES_IN", "NATION_IN", "PLACED"] and SCHEMA.inference_edge_types("place") == ["LIVES_IN", "NATION_IN"]
+    assert SCHEMA.inference_edge_types(extractable=True) == ["NATION_IN", "PLACED"]
 
 
-def test_wildcard_needs_wildcard():
-    old = Schema.of({"name": "x", "node_types": {"A": {}}, "edge_types": {"E": {}}})
-    new = Schema.of({"name": "x", "node_types": {"A": {}}, "edge_types": {"E": {"from": "A"}}})
-    assert old.incompatibilities(new) == ["edge `from` endpoint narrowed: E"] and new.incompatibilities(old) == []
+def test_summary():
+    lines = SCHEMA.summary().split("\n")
+    assert lines[0] == "Schema: orders_graph (v1)" and lines.index("Node Types:") < lines.index("Edge Types:")
+    assert "  Part — brand: String, name: String (required), size: Int" in lines and '  SUPPLIES — Single("Supplier") -> Single("Part")' in lines
 
 
-def test_inference_lists():
-    s = Schema.of({"name": "x", "edge_types": {"CAUSES": {"inference_category": "causal", "pass_1_extractable": True}, "RESOLVES": {"inference_category": "narrative", "pass_1_extractable": True}, "TRIGGERS": {"inference_category": "therapeutic"}, "MENTIONS": {}}})
-    assert s.inference_edge_types() == ["CAUSES", "RESOLVES", "TRIGGERS"]
-    assert s.inference_edge_types("causal") == ["CAUSES"] and s.inference_edge_types(extractable=True) == ["CAUSES", "RESOLVES"]
+def test_content_hash_is_that_of_the_canonical_text():
+    s = Schema.of({"name": "é", "node_types": {"B": {}, "A": {"properties": {"x": {"type": "int"}}}}})
+    text = (
+        '{"edge_types":{},"extraction_modes":{},"name":"é","node_types":{"A":{"embedding_field":null,"extraction_hint":null,"properties":'
+        '{"x":{"default":null,"indexed":false,"nullable":false,"range":null,"required":false,"type":"int","values":null}},"resolution":null},'
+        '"B":{"embedding_field":null,"extraction_hint":null,"properties":{},"resolution":null}},"version":1}'
+    )
+    assert s.content_hash() == hashlib.sha256(text.encode()).hexdigest()
+    other = Schema.of({"name": "é", "node_types": {"A": {"properties": {"x": {"type": "int"}}}, "B": {}}})
+    assert other.content_hash() == s.content_hash() != SCHEMA.content_hash()
+    assert s.wire("g") == {"id": "g", "wire_version": WIRE_VERSION, "content_hash": s.content_hash(), "schema": s.json()}
