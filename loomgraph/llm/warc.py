@@ -5,7 +5,8 @@ rewritten in WARC's form, types follow from URL scheme and content, digests are
 record holds become revisits of it.
 
 Null html is an empty payload; a null URL gets one made of the id; repeated rows with the largest id of their payload
-are responses alike; an empty table gives empty archives; other columns are not read."""
+are responses alike; a URL of any scheme, filedesc too, is a page's; very long pages come in archives of their own; an
+empty table gives empty archives; other columns are not read."""
 
 from __future__ import annotations
 
@@ -40,6 +41,7 @@ class ArcRecord(NamedTuple):
     offset: int
     block: bytes
     truncated: bool
+    version_block: bool = False
 
 
 def b32(payload: bytes) -> str:
@@ -61,9 +63,10 @@ def arc_record(name: str, version: int, offset: int, url: str, date: str, kind:
 
 
 def parse_arc(data: bytes) -> Iterator[ArcRecord]:
-    """Records of an ARC file.  The version block's second line tells the fields; a line is split from its right, for
-    old URLs may hold spaces.  A block that is shorter than declared is given as far as it goes, as truncated."""
-    at, names = 0, FIELDS[1].split()
+    """Records of an ARC file.  Its first record, if of the scheme filedesc, is the version block, whose second line tells
+    the fields; behind that such a URL is one as any other.  A line is split from its right, for old URLs may hold
+    spaces.  A block that is shorter than declared is given as far as it goes, as truncated."""
+    at, names, begun = 0, FIELDS[1].split(), False
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
             at += 1
@@ -72,7 +75,7 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         if stop < 0:
             raise ValueError(f"ARC: no end of the header line at {at}")
         line = data[at:stop].decode("utf-8", "replace").rstrip("\r")
-        first = line.startswith("filedesc://")
+        first, begun = not begun and line.startswith("filedesc://"), True
         parts = line.rsplit(" ", (4 if line.count(" ") == 4 else 9) if first else len(names) - 1)
         if not parts[-1].isdigit():
             raise ValueError(f"ARC: no length in the header line at {at}")
@@ -84,7 +87,7 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         if not first and len(parts) != len(names):
             raise ValueError(f"ARC: {len(parts)} fields, not {len(names)}, in the header line at {at}")
         own = FIELDS[1 if len(parts) == 5 else 2].split() if first else names
-        yield ArcRecord(dict(zip(own, parts, strict=True)), at, block, len(block) < length)
+        yield ArcRecord(dict(zip(own, parts, strict=True)), at, block, len(block) < length, first)
         at = stop + 1 + length
 
 
@@ -123,7 +126,7 @@ def convert(records: Iterable[ArcRecord], archive: str, revisits: dict[str, tupl
     for r in records:
         url, date = r.fields["URL"], iso(r.fields["Archive-date"])
         common = [("WARC-Date", date), *([("WARC-Truncated", "length")] if r.truncated else [])]
-        if url.startswith("filedesc://"):
+        if r.version_block:
             yield warc_bytes([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(archive, 0)), *common, ("WARC-Filename", archive), ("Content-Type", "application/warc-fields")], f"software: ARC conversion\r\nsource: {url}\r\n".encode())
             continue
         is_http = r.block.startswith(b"HTTP/")
