@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import struct
 import zlib
 
@@ -56,11 +57,12 @@ def test_language_model_against_brute_force(spark, frame):
     assert len(got[101]) == 2
 
 
-@pytest.mark.parametrize("order", [2, 3, 4])
-def test_language_model_of_higher_order(frame, order):
-    """Counts of each order by definition, and the recursion over them."""
+@pytest.mark.parametrize(("order", "shard_bytes"), [(2, lm.SHARD_BYTES), (3, lm.SHARD_BYTES), (4, lm.SHARD_BYTES), (2, 40), (3, 40), (4, 40), (5, 15)])
+def test_language_model_of_higher_order(frame, order, shard_bytes):
+    """Counts of each order by definition, and the recursion over them; in many shards, most words are hot, and so are
+    pairs of words (a third of all words is one word)."""
     rnd = random.Random(8)
-    rows = [(i, " ".join(rnd.choice("the cat sat on a mat dog ran".split()) for _ in range(rnd.randrange(14)))) for i in range(90)] + [(200, "new the cat sat"), (201, "cat the new sat")]
+    rows = [(i, " ".join(rnd.choice("the the the the cat sat on a mat dog ran".split()) for _ in range(rnd.randrange(14)))) for i in range(90)] + [(200, "new the cat sat"), (201, "cat the new sat")]
     tokens = {i: ["BEGIN", *t.split(), "END"] for i, t in rows}
     train = [t for i, t in tokens.items() if i < 70]
     counts = {order: collections.Counter(tuple(t[i : i + order]) for t in train for i in range(len(t) - order + 1))}
@@ -79,11 +81,61 @@ def test_language_model_of_higher_order(frame, order):
         n = counts[k][(*h, w)]
         return max(n - d[k][min(n, 3)], 0) / sum(seen) + sum(d[k][min(x, 3)] for x in seen) / sum(seen) * low
 
-    got = {r.doc_id: r.score for r in lm.score(frame(rows), F.col("doc_id") < 70, order).collect()}
+    got = {r.doc_id: r.score for r in lm.score(frame(rows), F.col("doc_id") < 70, order, shard_bytes).collect()}
     for i, t in tokens.items():
         assert got[i] == pytest.approx(sum(math.log10(p(tuple(t[max(0, j - order + 1) : j]), t[j])) for j in range(1, len(t))))
 
 
+def test_hot_histories_are_dealt_out(spark, frame):
+    """One word, and one pair, with a third of all runs each: no shard gets more than its share of them."""
+    rnd = random.Random(1)
+    rows = [(i, " ".join(f"{'the of' if rnd.random() < 0.6 else f'x{rnd.randrange(3000)}'} w{rnd.randrange(5000)}" for _ in range(60))) for i in range(300)]
+    about = lm.count(frame(rows), shard_bytes=4000, order=3)
+    routes = about["routes"]
+    word = np.array([lm.words_of(np.frombuffer(w, np.uint8), np.array([0, len(w)])).hash[0] for w in (b"the", b"of")], np.uint64)
+    assert routes.bits >= 4 and routes.is_hot(1, word).all() and routes.is_hot(2, lm.longer(word[1:], lm.first32(word[:1]))).all()
+    model = lm.Model(about)
+    assert model.own(word).tolist() == [sum(t.split().count(w) for _, t in rows) for w in ("the", "of")]
+    sizes = [model.stored(f"run.3-{s}").n for s in range(1 << routes.bits)]
+    assert max(sizes) < 3 * np.median(sizes)
+    late = {w for _, t in rows for a, w in zip(t.split(), t.split()[1:], strict=False) if a == "of"}
+    assert sum(model.stored(f"run.2-late-{s}").n for s in range(1 << routes.bits)) > len(late) * 0.99
+
+
+def test_stored_counts(tmp_path):
+    """Keys that share their leading bits, counts of one byte and larger ones, and keys that aren't there."""
+    from loomgraph.llm.common import Folder
+
+    rng = np.random.default_rng(4)
+    key = np.unique(np.concatenate([rng.integers(0, 2**64, 5000, np.uint64), rng.integers(0, 2**50, 3000, np.uint64), np.array([0, 1, 2**64 - 1], np.uint64)]))
+    count = rng.choice([1, 2, 254, 255, 256, 2**33], len(key))
+    lm.store(Folder(str(tmp_path)), "x", key, count)
+    got = lm.Stored(Folder(str(tmp_path)), "x")
+    asked = np.concatenate([key, key + np.uint64(1), key - np.uint64(1), rng.integers(0, 2**64, 1000, np.uint64)])
+    have = dict(zip(key.tolist(), count.tolist(), strict=True))
+    assert got.get(asked).tolist() == [have.get(k, 0) for k in asked.tolist()]
+    assert (got.lower(asked) == np.searchsorted(key, asked)).all()
+    lm.store(Folder(str(tmp_path)), "none", key[:0], count[:0])
+    assert lm.Stored(Folder(str(tmp_path)), "none").get(key[:3]).tolist() == [0, 0, 0]
+
+
+def test_query_against_brute_force(spark, small, documents):
+    """The query's own columns and split, from the texts alone."""
+    words = {d["doc_id"]: [w for w in re.split(rb"[\x20\x09-\x0D]+", (d["text"] or "").encode().lower()) if w] for d in documents}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in words}
+    c = collections.Counter(w for i, t in words.items() if not held[i] for w in [*t, None])
+    n, v = sum(c.values()), len(c)
+    got = {r.doc_id: r for r in lm.op4_kneser_ney(spark, small).collect()}
+    assert set(got) == set(words) and 0 < sum(held.values()) < len(held)
+    for i, t in words.items():
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t) + 1, sum(c[w] > 0 for w in [*t, None]), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*t, None]))
+        assert r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens))
+    mean = lambda f: np.mean([f(r) for r in got.values() if r.held_out and r.n_tokens > 20])
+    assert mean(lambda r: r.score / r.n_tokens) > mean(lambda r: r.base_score / r.n_tokens)
+
+
 def test_query_tells_words_beyond_the_pair(frame):
     rows = [(i, "a b c" if i % 2 else "d b e") for i in range(40)] + [(100, "a b c"), (101, "a b e")]
     got = {r.doc_id: r.score for r in lm.score(frame(rows), F.col("doc_id") < 40, lm.ORDER).collect()}
@@ -172,6 +224,25 @@ def test_media_query(frame):
     assert media.describe(media.to_media(frame([]))).count() == 0
 
 
+def test_media_query_against_the_texts(spark, small, documents):
+    """Every column of the query's result from the text alone."""
+    got = {r.doc_id: r for r in media.op6_signature_media(spark, small).collect()}
+    assert len(got) == len(documents)
+    for d in documents:
+        text = (d["text"] or "").encode()
+        p = text + b"\xff" * (576 - len(text) % 576 if len(text) % 576 or not text else 0)
+        kind, stored = media.store(p)
+        x = list(p)
+        mean = sum(x) * 1000 // len(x)
+        var = (sum(v * v for v in x) * len(x) - sum(x) ** 2) * 1000 // len(x) ** 2
+        cross = sum((a >= 128) != (b >= 128) for a, b in zip(x[1:], x[:-1], strict=True))
+        r = got[d["doc_id"]]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        assert (r.media_bytes, r.media_sha256, r.declared) == (len(stored), hashlib.sha256(stored).hexdigest(), kind)
+        assert r.feature == f"{r.carved} mean={mean} var={var} cross={cross} values={len(set(x))}"
+        assert r.detected == (r.carved if r.at == 0 else "application/octet-stream") and stored[r.at :].startswith(media.FORMATS[r.carved][0])
+
+
 def test_every_file_of_a_carrier_is_carved(spark):
     one, two, three = (media.WRITERS[k](media.pad(bytes([i]) * 700)) for i, k in enumerate(("image/png", "audio/wav", "image/bmp"), 1))
     gif = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02\x44\x01\x00\x3b"
@@ -211,6 +282,12 @@ def test_arc_oddities():
         list(warc.parse_arc(b"no header"))
 
 
+def test_pages_with_the_scheme_of_version_blocks(spark):
+    rows = [(1, "filedesc://a.arc 0", "x"), (2, "filedesc://", "x"), (3, "dns:filedesc://a", "y")]
+    out = warc.read_archives(warc.archives(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    assert sorted((r.page_id, r.target_uri, r.record_type, r.refers_to) for r in out) == [(1, "filedesc://a.arc%200", "revisit", 2), (2, "filedesc://", "response", None), (3, "dns:filedesc://a", "response", None)]
+
+
 def test_archives_round_trip(spark):
     rows = [(1, "http://a", "same"), (2, "http://b", "same"), (3, None, None), (4, "http://c d", ""), (5, "u", "x" * 100_000), (2, "http://b", "same")]
     pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, archive string")
@@ -236,6 +313,31 @@ def test_jump_moves_only_into_the_new_shard():
         before = now
 
 
+def test_shards_are_those_of_a_scalar_jump_hash(spark, small):
+    """The published loop, one key at a time, over 64-bit integers."""
+    whole = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x + 0x9E3779B97F4A7C15) & whole
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & whole
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & whole
+        return x ^ (x >> 31)
+
+    def jump(key, n):
+        b, j = -1, 0
+        while j < n:
+            b = j
+            key = (key * 2862933555777941757 + 1) & whole
+            j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
+        return b
+
+    for r in sharding.op8_jump_sharding(spark, small).collect():
+        assert (r.shard, r.grown_shard) == tuple(jump(mixed(r.doc_id & whole), n) for n in (24, 25))
+    keys = [0, 1, -1, 2**63 - 1, -(2**63), *(random.Random(i).randrange(-(2**62), 2**62) for i in range(500))]
+    got = sharding.jump(sharding.mix(np.array(keys, np.int64).view(np.uint64)), 1000)
+    assert got.tolist() == [jump(mixed(k & whole), 1000) for k in keys]
+
+
 def test_shards(spark, frame, documents, small):
     for out, n in ((sharding.op8_jump_sharding(spark, small), len(documents)), (sharding.shard(frame([(1, None), (None, "a"), (None, "é"), (3, "x"), (3, "x")])), 5), (sharding.shard(frame([])), 0)):
         rows = out.collect()
@@ -280,6 +382,19 @@ def test_packing_query(spark, small, documents):
     check_pieces(packing.op10_drr_packing(spark, small).collect(), [(d["doc_id"], d["text"]) for d in documents], 4096)
 
 
+def test_packing_query_keeps_its_mixture(spark, small, documents):
+    """Each window, while all sources last, holds the sources in proportion to the power of their tokens."""
+    rows = packing.op10_drr_packing(spark, small).collect()
+    tokens, got = collections.Counter(), collections.defaultdict(collections.Counter)
+    for r in rows:
+        tokens[r.source] += r.length
+        got[r.sequence_id][r.source] += r.length
+    total = sum(v**packing.POWER for v in tokens.values())
+    want = {s: 4096 * v**packing.POWER / total for s, v in tokens.items()}
+    whole = int(min(tokens[s] / want[s] for s in want)) - 1
+    assert whole >= 1 and all(abs(got[k][s] - want[s]) <= 2 + len(want) for k in range(whole) for s in want)
+
+
 def test_packing_edge_cases(frame):
     rows = [(1, None, "a"), (2, "", None), (3, "word " * 3000, "a"), (4, "one two three", "b"), (4, "one two three", "b"), (5, "ΑΣ <|endoftext|> x y", "c"), (6, "<|EndOfText|> É", "c")]
     check_pieces(packing.digest(packing.pack(frame(rows), length=64)).collect(), [(r[0], r[1]) for r in rows], 64)
@@ -330,6 +445,40 @@ def test_windows_hold_each_source_in_proportion(frame):
         assert all(abs(corpus[k][s] - 200 * left[s] / total) <= 3 for s in share)
 
 
+def test_queues_against_the_round_robin_itself():
+    """Every token's place in the stream, with more sources than tokens in a window and queues of very unlike sizes."""
+    rnd = random.Random(8)
+    for length in (8, 64):
+        sizes = [rnd.choice([1, 5, 40, 700]) for _ in range(6)]
+        share = [rnd.random() for _ in sizes]
+        share = [x / sum(share) for x in share]
+        queues = packing.Queues(length, list(zip(share, sizes, strict=True))[:-1], (share[-1], sizes[-1]))
+        stream, sent, turn = [], [0] * len(sizes), 0
+        while sent != sizes:
+            turn += 1
+            for s in range(len(sizes)):
+                upto = min(sizes[s], int(turn * queues.quantum[s]) // (1 << packing.PLACES))
+                stream += [(s, k, turn) for k in range(sent[s], upto)]
+                sent[s] = upto
+        docs = [(s, a, min(17, sizes[s] - a)) for s in range(len(sizes)) for a in range(0, sizes[s], 17)]
+        queue, place, size = (np.array(x, np.int64) for x in zip(*docs, strict=True))
+        doc, start, n, at, last = queues.pieces(place, size, queue)
+        got = {}
+        for d, a, k, p in zip(doc, start, n, at, strict=True):
+            assert p // length == (p + k - 1) // length
+            got |= {int(p) + i: (docs[d][0], docs[d][1] + int(a) + i) for i in range(int(k))}
+        assert [got[i] for i in range(len(stream))] == [(s, k) for s, k, _ in stream] and len(got) == len(stream)
+        assert [int(x) for x in last] == [next(t for s, k, t in stream if (s, k) == (q, a + b - 1)) for q, a, b in docs]
+
+
+def test_sources_without_a_queue_of_their_own(frame):
+    rnd = random.Random(9)
+    rows = [(i, "w " * rnd.randrange(0, 30), None if i % 50 == 0 else f"s{i % 40}" if i % 2 else "big") for i in range(300)]
+    for mixture in (1.0, 0.0, 0.7, {"big": 0.5, None: 0.4}):
+        got = packing.pack(frame(rows), length=32, mixture=mixture)
+        check_pieces(packing.digest(got).collect(), [(i, t) for i, t, _ in rows], 32)
+
+
 # --- pipeline
 
 
