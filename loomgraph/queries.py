@@ -490,15 +490,15 @@ def token_sort_ratio(spark, sf):
 
 
 def _resolver_input(spark, sf):
-    """Names of parts with even first keys against those of odd ones, with vectors by the key."""
-    names = read(spark, sf, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("pos"))
-    v = read(spark, sf, "embeddings").select("vec_id", "embedding")
-    both = names.join(v, F.col("pos") == F.col("vec_id"), "left")
-    queries = both.where("pos % 2 = 0").select(F.col("name").alias("query_id"), F.col("name").alias("query"), F.col("embedding").alias("query_embedding"))
-    return queries, both.where("pos % 2 = 1").select(F.concat(F.lit("p:"), "pos").alias("id"), "name", "pos", "embedding")
+    """Every part's name without its first two characters, as a worn label shows it, against all names; vectors are those
+    of the least keys."""
+    parts, v = read(spark, sf, "part"), read(spark, sf, "embeddings").select("vec_id", "embedding")
+    by = lambda c: parts.groupBy(c.alias("name")).agg(F.min("p_partkey").alias("pos")).join(v, F.col("pos") == F.col("vec_id"), "left")
+    queries = by(F.substring("p_name", 3, 1 << 30)).select(F.col("name").alias("query_id"), F.col("name").alias("query"), F.col("embedding").alias("query_embedding"))
+    return queries, by(F.col("p_name")).select(F.concat(F.lit("p:"), "pos").alias("id"), "name", "pos", "embedding")
 
 
-_RESOLVE = "with names as (select p_name as n, min(p_partkey) as pos from part group by 1), pairs as (select a.n as q, b.n as c from names a, names b where a.pos % 2 = 0 and b.pos % 2 = 1), " + _JARO + ", f as (select q, c, pos, max(score) as score from s join names on n = c group by 1, 2, 3)\n"
+_RESOLVE = "with names as (select p_name as n, min(p_partkey) as pos from part group by 1), asked as (select substr(p_name, 3) as q, min(p_partkey) as at from part group by 1), pairs as (select q, n as c from asked, names), " + _JARO + ", f as (select q, c, pos, max(score) as score from s join names on n = c group by 1, 2, 3)\n"
 
 
 @query(_RESOLVE + "select q as query_id, 'p:' || pos as id, score, cast(row_number() over (partition by q order by score desc, pos) as integer) as place from f")
@@ -516,7 +516,7 @@ def resolve_decisions(spark, sf):
     return resolve.resolve(queries.drop("query_embedding"), existing.drop("embedding")).select("query_id", "decision", "id", "best_score")
 
 
-@query(_RESOLVE + """, z as (select f.*, round(list_cosine_similarity(x.embedding::double[], y.embedding::double[]), 9) as cos from f join names n on n.n = f.q join embeddings x on x.vec_id = n.pos % 500 join embeddings y on y.vec_id = f.pos % 500 where score >= 60),
+@query(_RESOLVE + """, z as (select f.*, round(list_cosine_similarity(x.embedding::double[], y.embedding::double[]), 9) as cos from f join asked on asked.q = f.q join embeddings x on x.vec_id = asked.at join embeddings y on y.vec_id = f.pos where score >= 60),
 b as (select q, max(score) as best, arg_max(pos, score * 1000000000 - pos) as pos from f group by 1), n as (select q, max(cos) as cos, arg_max(pos, cos * 1000000000000 + pos / 1000000000.0::double) as pos from z group by 1)
 select b.q as query_id, case when best >= 95 then 'auto_merge' when best >= 60 and cos >= 0.1::double then 'vector_merge' else 'create_new' end as decision, case when best >= 95 then 'p:' || b.pos when best >= 60 and cos >= 0.1::double then 'p:' || n.pos end as id,
 case when best >= 95 then best::double when best >= 60 and cos >= 0.1::double then round(cos, 6) end as score, best as best_score from b left join n on n.q = b.q""")

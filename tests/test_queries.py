@@ -66,9 +66,10 @@ def test_dangling_edges_of_every_type(spark, small, tmp_path):
 
 
 def test_names_have_the_vectors_of_their_own_keys(spark, small, tmp_path):
+    """All names are asked and all exist, whatever their keys."""
     parts, vectors = pd.read_parquet(f"{small}/part.parquet").head(2), pd.read_parquet(f"{small}/embeddings.parquet").head(3)
     parts["p_name"], parts["p_partkey"] = ["even", "odd"], parts["p_partkey"].dtype.type(1) * [702, 703]
     vectors["vec_id"] = vectors["vec_id"].dtype.type(1) * [202, 702, 703]
     asked, existing = queries._resolver_input(spark, changed(small, tmp_path, part=parts, embeddings=vectors))
-    assert [list(r.query_embedding) for r in asked.collect()] == [list(vectors["embedding"][1])]
-    assert [list(r.embedding) for r in existing.collect()] == [list(vectors["embedding"][2])]
+    assert {r.query: list(r.query_embedding) for r in asked.collect()} == {"en": list(vectors["embedding"][1]), "d": list(vectors["embedding"][2])}
+    assert {r.name: list(r.embedding) for r in existing.collect()} == {"even": list(vectors["embedding"][1]), "odd": list(vectors["embedding"][2])}
