@@ -133,7 +133,7 @@ class Stored:
     """What store() wrote, mapped."""
 
     def __init__(self, folder: Folder, name: str):
-        raw = folder.map(name, "u1")
+        raw = np.asarray(folder.map(name, "u1"))
         self.n = 0
         if not len(raw):
             return
@@ -145,23 +145,33 @@ class Stored:
             at = end
 
     def lower(self, key: np.ndarray) -> np.ndarray:
-        """How many stored keys are less than each key: all searches go on side by side."""
+        """How many stored keys are less than each key: all searches go on side by side, by the 16 bits behind the
+        leading ones, and by the last 32 where those are equal."""
         lead = (key >> U(48)).astype(np.int64)
         lo, hi = self.edge[lead].astype(np.int64), self.edge[lead + 1].astype(np.int64)
-        rest = key & U(0xFFFFFFFFFFFF)
-        while True:
-            open_ = np.flatnonzero(lo < hi)
-            if not len(open_):
-                return lo
-            mid = (lo[open_] + hi[open_]) >> 1
-            less = ((self.high[mid].astype(U) << U(32)) | self.low[mid]) < rest[open_]
-            lo[open_[less]], hi[open_[~less]] = mid[less] + 1, mid[~less]
+        high, low = ((key >> U(32)) & U(0xFFFF)).astype(np.uint16), (key & U(0xFFFFFFFF)).astype(np.uint32)
+        for _ in range(int((hi - lo).max(initial=0)).bit_length()):
+            mid = (lo + hi) >> 1
+            have = self.high.take(mid, mode="clip")
+            less = have < high
+            if len(tie := np.flatnonzero(have == high)):
+                less[tie] = self.low.take(mid[tie], mode="clip") < low[tie]
+            less &= lo < hi
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+        return lo
 
     def has(self, key: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Whether the keys stand at these places, as lower() gives them."""
         lead, own = (key >> U(48)).astype(np.int64), np.minimum(at, self.n - 1)
         return (((self.high[own].astype(U) << U(32)) | self.low[own]) == key & U(0xFFFFFFFFFFFF)) & (self.edge[lead] <= at) & (at < self.edge[lead + 1])
 
+    def leads(self, at: np.ndarray, rest: np.uint64, lead: np.ndarray) -> np.ndarray:
+        """Whether the keys at these places begin with the given bits (all but `rest` of them); the places are at or behind
+        where such keys begin, so the 16 leading bits are wrong only past their end."""
+        own = (self.high[at].astype(U) << U(32)) | self.low[at]
+        inside = at < self.edge[(lead >> U(48 - int(rest))).astype(np.int64) + 1]
+        return inside & (own >> rest == lead & U((1 << (48 - int(rest))) - 1))
+
     def counts(self, at: np.ndarray) -> np.ndarray:
         out = self.count[at].astype(np.int64)
         big = np.flatnonzero(out == 255)
@@ -529,7 +539,7 @@ class Model:
 
     @staticmethod
     def each(place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(place, kind="stable")
+        order = np.argsort(place.astype(np.uint16) if len(place) and place.max() < 1 << 16 else place, kind="stable")
         edge = edges(place[order])
         for a, b in spans(edge, len(place)):
             yield int(place[order[a]]), order[a:b]
@@ -574,11 +584,17 @@ class Model:
             runs = self.stored(f"run.{k}-{s}")
             if not runs.n or not len(own):
                 continue
-            with np.errstate(over="ignore"):
-                lo, hi = runs.lower(key[own] << rest), runs.lower(((key[own] + U(1)) << rest) - U(1))
-            at = lo[:, None] + np.arange(FEW)
-            n = np.where(at < (hi + runs.has(((key[own] + U(1)) << rest) - U(1), hi))[:, None], runs.counts(np.minimum(at, runs.n - 1).ravel()).reshape(at.shape), 0)
-            out[own] = np.stack([n.sum(1), (n == 1).sum(1), (n == 2).sum(1), (n >= 3).sum(1)], 1)
+            # Few followers, one after another: most histories have one or two.
+            at, live = runs.lower(key[own] << rest), np.arange(len(own))
+            for _ in range(FEW + 1):
+                live = live[at[live] < runs.n]
+                live = live[runs.leads(at[live], rest, key[own[live]])]
+                if not len(live):
+                    break
+                n = runs.counts(at[live])
+                out[own[live], 0] += n
+                out[own[live], np.minimum(n, 3)] += 1
+                at[live] += 1
         return out
 
     def score(self, words) -> tuple[np.ndarray, ...]:
@@ -601,18 +617,26 @@ class Model:
             real = np.flatnonzero(back[k - 2] != U(NONE))  # another is counted by a lower order, and leaves the chance as it is
             if not len(real):
                 continue
-            h, h_at, h_of = np.unique(histories[-1][real], return_index=True, return_inverse=True)
-            total = self.history(k, self.routes.place([x[real[h_at]] for x in histories], last[real[h_at]]), h)
-            key, at, r_of = np.unique(run_key(k, histories[-1][real], last[real]), return_index=True, return_inverse=True)
-            at = real[at]
+            # Runs once each, in order of keys, and so of histories.
+            key = run_key(k, histories[-1][real], last[real])
+            order = np.argsort(key)
+            edge = edges(key[order])
+            r_of = np.empty(len(key), np.int64)
+            r_of[order] = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(key))))
+            key, at = key[order[edge]], real[order[edge]]
+            begins = edges(key >> U(64 - history_bits(k)))
+            h_of = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(key))))
+            ends = at[begins]
+            total = self.history(k, self.routes.place([x[ends] for x in histories], last[ends]), histories[-1][ends])
             late = self.routes.is_hot(k - 1, histories[-1][at]) & (k < m["order"])
             n = np.zeros(len(key), np.int64)
             n[~late] = self.counts(f"run.{k}", self.routes.place([x[at[~late]] for x in histories], last[at[~late]]), key[~late])
             n[late] = self.counts(f"run.{k}-late", shard_of(last[at[late]] << U(24), bits), key[late])
-            d, n = m["d"][k - 1], n[r_of]
-            t = np.maximum(total[:, 0], 1)
-            back_off = np.where(total[:, 0] > 0, total[:, 1:] @ d[1:] / t, 1.0)
-            p[real] = np.where(total[h_of, 0] > 0, np.maximum(n - d[np.minimum(n, 3)], 0) / t[h_of], 0.0) + back_off[h_of] * p[real]
+            d, t = m["d"][k - 1], np.maximum(total[:, 0], 1)
+            there = total[:, 0] > 0
+            back_off = np.where(there, total[:, 1:] @ d[1:] / t, 1.0)[h_of]
+            own_part = np.where(there[h_of], np.maximum(n - d[np.minimum(n, 3)], 0) / t[h_of], 0.0)
+            p[real] = own_part[r_of] + back_off[r_of] * p[real]
         add_ = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else np.zeros(0)
         return np.diff(first), add_((own > 0)[of].astype(np.int64)), add_(base[of]), add_(np.log10(p))
 
