@@ -117,11 +117,11 @@ def typed(nodes: DataFrame, node_type: NodeType | EdgeType, keys: tuple[str, ...
     keys that are there, so that absent and null differ) and _extra (JSON text of each undeclared one); and seq, where
     there is one."""
     columns = F.from_json("properties", node_type.struct())
-    whole = F.from_json("properties", "map<string,string>")
+    whole = F.from_json("properties", "map<string,variant>")
     names = sorted(node_type.properties)
     extra = F.map_filter(whole, lambda k, v: ~k.isin(names)) if names else whole
     keep = [*keys, *(["seq"] if "seq" in nodes.columns and "seq" not in names else [])]
-    return nodes.select(*keep, *[columns[n].alias(n) for n in names], F.array_sort(F.map_keys(whole)).alias("_present"), extra.alias("_extra"))
+    return nodes.select(*keep, *[columns[n].alias(n) for n in names], F.array_sort(F.map_keys(whole)).alias("_present"), F.transform_values(extra, lambda _, v: F.to_json(v)).alias("_extra"))
 
 
 def index_text(c: Column, kind: str) -> Column:
