@@ -10,7 +10,8 @@ the last piece of the prefix's own encoding: that piece is the one whose pair wi
 it stays apart when the two are merged alone.  Both kinds share the walk.  Characters that no piece covers become
 bytes.
 
-Null is empty and has no pieces; repeated rows are encoded each; other columns are not read."""
+Null is empty and has no pieces; repeated rows are encoded each; a very long text is walked as its distinct words like
+any other; an empty table gives no rows; other columns are not read."""
 
 from __future__ import annotations
 

@@ -1,7 +1,9 @@
 """Shards by jump consistent hashing: a stable key and the shard count decide; no ring table is kept.
 
-Null keys count as one key of their own.  Repeated rows keep their places: each gets its own slot.  An empty table
-gives an empty result.  Columns besides the key and the size are not read, so clashing names do no harm."""
+Keys may be of any type that hashes: whole numbers are keys themselves, others go by a 64-bit hash of their value.  Null
+keys count as one key of their own.  Repeated rows keep their places: each gets its own slot.  Null texts are empty; very
+long ones are measured whole, where they lie.  An empty table gives an empty result.  Columns besides the key and the
+text are not read, so clashing names do no harm."""
 
 from __future__ import annotations
 
@@ -11,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import Stages, placed, running_total, table
 from .text import mix
@@ -33,7 +36,7 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def shard_of(key: Column, shards: int) -> Column:
-    """Column form of jump() for integer keys."""
+    """Column form of jump() for keys of 64 bits."""
 
     @F.pandas_udf("int")
     def of(part: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -51,7 +54,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
     stages = Stages(docs.sparkSession, "shard")
     empty = F.coalesce(F.col(text), F.lit(""))
     narrow = docs.select(F.col(key).alias("doc_id"), (F.octet_length(empty) + 8).cast("long").alias("size"), F.crc32(empty.cast("binary")).alias("text_crc32"))
-    narrow = narrow.select("*", shard_of(F.col("doc_id"), shards).alias("shard"), shard_of(F.col("doc_id"), shards + 1).alias("grown_shard"))
+    whole = isinstance(narrow.schema["doc_id"].dataType, IntegralType)
+    stable = F.col("doc_id") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    narrow = narrow.select("*", shard_of(stable, shards).alias("shard"), shard_of(stable, shards + 1).alias("grown_shard"))
     rows = placed(stages.write(narrow)).withColumn("_one", F.lit(1).cast("long"))
     out = running_total(rows, ["shard"], "_one", "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
