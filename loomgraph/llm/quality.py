@@ -2,15 +2,18 @@
 
 Every word and every word shape (case, digits, marks, length) has a sparse random index vector that follows from its
 hash.  A word's vector is the sum of the index vectors around it, over the whole corpus; words share ROWS rows by
-hash, so the table has one size however large the corpus is.  A document is the mean of its words' vectors, of its
-shapes' vectors, and a few counts.  The network is fitted on at most FIT_ROWS labelled rows and its probabilities are
-calibrated by one temperature on rows held from the fit.
+hash, so the table has one size however large the corpus is.  The sums are whole numbers, so they don't depend on the
+order in which tasks' tables are added up.  A document is the mean of its words' vectors, of its shapes' vectors, and a
+few counts.  The network is fitted by one task on at most FIT_ROWS labelled ids (of rows with one id, on the one with the
+least hash of its text) and its probabilities are calibrated by one temperature on rows held from the fit.
 
-Null and empty texts are scored as documents without words; repeated rows get equal scores; without labels of both
-classes every score is the training share (0.5 without any); other columns are not read."""
+Null and empty texts are scored as documents without words; repeated rows get equal scores; very long texts are read in
+pieces and pooled as a whole; without labels of both classes every score is the training share (0.5 without any); an
+empty table gives no rows; other columns are not read."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,18 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import PACKED, add_up, packed, table
 from .text import Words, mix, slices, words_of
 from .toxicity import remainder
 
-ROWS, SHAPES, DIM, NONZERO, REACH = 7168, 1024, 48, 2, 2
-#: Labelled rows that the network is fitted on at most (chosen by a hash of their ids).
+ROWS, SHAPES, DIM, NONZERO, REACH = 1 << 16, 1024, 48, 2, 2
+#: Labelled ids that the network is fitted on at most (chosen by a hash).
 FIT_ROWS = 20_000
 HIDDEN = 24
 THRESHOLD = 0.7
 COUNTS = 4
-#: Rows of the table that travel together when tasks' sums are added up.
-CHUNK = 512
 
 _KIND = np.zeros(256, np.uint8)  # 0 space, 1 lower, 2 upper, 3 digit, 4 mark, 5 beyond ASCII
 _KIND[33:127] = 4
@@ -67,7 +68,7 @@ def index_vectors(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def rows_of(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Each word's row, and its shape's row, in the table."""
-    return (w.hash % np.uint64(ROWS)).astype(np.int64), ROWS + shapes(w)
+    return (w.hash & np.uint64(ROWS - 1)).astype(np.int64), ROWS + shapes(w)
 
 
 def accumulate(w: Words, out: np.ndarray) -> None:
@@ -78,10 +79,10 @@ def accumulate(w: Words, out: np.ndarray) -> None:
     word_row, shape_row = rows_of(w)
     text = np.repeat(np.arange(len(w.first) - 1, dtype=np.int32), np.diff(w.first))
     sparse = [index_vectors(w.hash), index_vectors(shape_row.astype(np.uint64))]
-    near = np.zeros((n, DIM), np.float32)
+    near = np.zeros((n, DIM), np.int16)
     for place, sign in sparse:
         for j in range(NONZERO):
-            near[np.arange(n), place[:, j]] += sign[:, j]
+            near[np.arange(n), place[:, j]] += sign[:, j].astype(np.int16)
     context = np.zeros_like(near)
     for k in range(1, REACH + 1):
         same = (text[k:] == text[:-k])[:, None]
@@ -91,33 +92,20 @@ def accumulate(w: Words, out: np.ndarray) -> None:
         order = np.argsort(rows, kind="stable")
         sorted_rows = rows[order]
         first = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
-        out[sorted_rows[first]] += np.add.reduceat(context[order], first, axis=0)
+        out[sorted_rows[first]] += np.add.reduceat(context[order], first, axis=0, dtype=np.int32)
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
-    """The table of word vectors over all documents, rows scaled to length 1.  Tasks send sums of one fixed size;
-    they are added up by chunk of rows, batch by batch."""
+    """The table of word vectors over all documents, rows scaled to length 1.  Tasks send sums of one fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((ROWS + SHAPES, DIM), np.float64)
+        out = np.zeros((ROWS + SHAPES, DIM), np.int64)
         for _, data, bounds in slices(batches, size=1 << 20):
             accumulate(words_of(data, bounds, keep_case=True), out)
-        chunks = [out[i : i + CHUNK].astype(np.float32) for i in range(0, len(out), CHUNK)]
-        yield pa.record_batch([pa.array(range(len(chunks)), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], names=["chunk", "sums"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(raw.as_buffer(), np.float32).astype(np.float64)
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in sums.values()], pa.binary())], names=["chunk", "sums"])
-
-    parts = docs.select("text").mapInArrow(count, "chunk int, sums binary")
-    some = parts.repartition(16, "chunk").mapInArrow(add, "chunk int, sums binary").collect()  # one row per chunk
-    out = np.zeros((ROWS + SHAPES, DIM), np.float32)
-    for r in some:
-        got = np.frombuffer(r["sums"], np.float32).reshape(-1, DIM)
-        out[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(got)] += got
+        yield packed(out.ravel())
+
+    sums = add_up(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, PACKED), (ROWS + SHAPES) * DIM)
+    out = sums.reshape(-1, DIM).astype(np.float32)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -140,14 +128,15 @@ def pooled(w: Words, vectors: np.ndarray) -> np.ndarray:
 
 
 def documents_vectors(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
+    """doc_id, y, x (the document's vector) and a hash of the text."""
     held = docs.sparkSession.sparkContext.broadcast(vectors)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, bounds in slices(batches, size=1 << 20):
             x = pooled(words_of(data, bounds, keep_case=True), held.value)
-            yield pa.record_batch([part.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
+            yield pa.record_batch([part.column(0), part.column(1), pa.array([r.tobytes() for r in x], pa.binary()), part.column(3)], names=["doc_id", "y", "x", "hash"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, x binary")
+    return docs.select("doc_id", "y", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, "doc_id long, y int, x binary, hash long")
 
 
 # --- the network
@@ -203,15 +192,25 @@ def log_loss(z: np.ndarray, y: np.ndarray, temperature: float) -> float:
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", fit_rows: int = FIT_ROWS):
     """(word vectors, network or None, the score without a network); labels: doc_id and column (0 or 1) of the rows to
     learn from."""
-    y = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
+    y = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).cast("int").alias("y"))
     vectors = word_vectors(docs)
     chosen = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # so the broadcast has fit_rows rows at most
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = documents_vectors(sample, vectors).toPandas().drop_duplicates("doc_id").merge(chosen.toPandas(), on="doc_id").sort_values("doc_id")
-    target = got["y"].to_numpy().astype(np.float32)
-    if not 0 < target.sum() < len(target):
-        return vectors, None, float(target.mean()) if len(target) else 0.5
-    return vectors, fit(np.stack([np.frombuffer(v, np.float32) for v in got["x"]]), target), None
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((i, c, x) for batch in batches for i, c, x in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+        target = np.array([c for _, c, _ in found], np.float32)
+        if 0 < target.sum() < len(target):
+            made = fit(np.stack([np.frombuffer(x, np.float32) for *_, x in found]), target), None
+        else:
+            made = None, float(target.mean()) if len(target) else 0.5
+        yield pa.record_batch([pa.array([pickle.dumps(made)], pa.binary())], names=["model"])
+
+    # One row of one vector for each id reaches the one task that fits the network.
+    one = documents_vectors(sample, vectors).groupBy("doc_id", "y").agg(F.min_by("x", "hash").alias("x"))
+    got = one.select("doc_id", "y", "x").repartition(1).mapInArrow(learn, "model binary").head()
+    p, constant = pickle.loads(got[0]) if got else (None, 0.5)
+    return vectors, p, constant
 
 
 def probabilities(trained, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
