@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,8 +121,25 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)), bounds
 
 
+def give_back() -> None:
+    """Memory that a task has freed goes back to the system: workers serve other tasks later, and their executor's share
+    is one."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of rows with about `size` bytes of text at most (a longer text comes alone), with their bytes and bounds."""
+    try:
+        yield from _slices(batches, text, size)
+    finally:
+        give_back()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for batch in batches:
         data, bounds = buffers(batch.column(batch.schema.get_field_index(text)))
         i, n = 0, batch.num_rows

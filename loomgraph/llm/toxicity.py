@@ -38,6 +38,8 @@ LONG = 64
 ODDS = 1 + len(STEMS)
 #: Labelled ids of each class that the network is fitted on at most (chosen by a hash of the ids).
 FIT_DOCS = 2000
+#: Bytes of text that a task looks at together.
+SLICE = 2 << 20
 #: Labels in one shared file, on average.
 LABELS = 1 << 20
 #: Windows that one training text gives: those of highest log-odds, and others by chance.
@@ -362,7 +364,7 @@ def frequencies(docs: DataFrame, about: dict) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n, labels = np.zeros(2 * FREQ, np.int64), np.zeros(2, np.int64), Labels(about)
-        for part, data, bounds in slices(own for own, _ in labelled(batches, labels)):
+        for part, data, bounds in slices((own for own, _ in labelled(batches, labels)), size=SLICE):
             y = part.column(2).to_numpy().astype(np.int64)
             w = parts_of(data, bounds)
             doc = np.repeat(np.arange(len(y)), np.diff(w.first))
@@ -550,7 +552,7 @@ def score(docs: DataFrame, labels: DataFrame, column: str = "toxic", threshold:
     held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: two hashed tables and a small network
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, bounds in slices(batches):
+        for part, data, bounds in slices(batches, size=SLICE):
             q = probabilities(held.value, constant, data, bounds)
             yield pa.record_batch([part.column(0), pa.array(q), pa.array((q >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
@@ -563,7 +565,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, column: str = "toxic", thr
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, bounds in slices(batches):
+        for part, data, bounds in slices(batches, size=SLICE):
             yield part.filter(pa.array(probabilities(held.value, constant, data, bounds) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
