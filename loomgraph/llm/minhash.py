@@ -12,7 +12,9 @@ blocks, so that no link between components is lost, whatever the bucket's size;
 that join components.  A link needs a probability Jaccard similarity of at least `threshold`.
 
 Null, empty and blank texts link with nothing.  Rows with equal ids count as one document; rows with a null id get a
-null class and are kept.  An empty table gives an empty result; other columns are not read."""
+null class and are kept.  Very long texts are shingled whole, piece by piece; a similarity that equals the threshold
+links; of leaders with equal ranks the least id leads.  An empty table gives an empty result; other columns are not
+read."""
 
 from __future__ import annotations
 
@@ -272,10 +274,10 @@ def verify(rows: DataFrame, threshold: float) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id (the least id of the class), kept (doc_id = class_id), text_copies for every row."""
-    spark = docs.sparkSession
-    stages = Stages(spark, "minhash")
+def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, id_: str = "doc_id", text: str = "text", stages: Stages | None = None) -> DataFrame:
+    """doc_id, class_id (the least id of the class), kept (doc_id = class_id), text_copies for every row.  stages: where
+    the tables go that the result reads."""
+    stages = stages or Stages(docs.sparkSession, "minhash")
     signs = stages.write(signed(docs, id_, text, size))
     texts = stages.write(signs.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("text_copies")))
     full = signs.where("bands is not null and doc_id is not null")
@@ -323,8 +325,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE,
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
     """The rows of `docs` without those whose class has a lesser id, and without repeats of a row's id."""
-    stages = Stages(docs.sparkSession, "dedup")
-    found = stages.write(classes(docs, threshold, size).where("doc_id is not null").select("doc_id", "kept"))
+    stages, inner = Stages(docs.sparkSession, "dedup"), Stages(docs.sparkSession, "minhash")
+    found = stages.write(classes(docs, threshold, size, stages=inner).where("doc_id is not null").select("doc_id", "kept"))
+    inner.drop_all()
     repeats = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
     gone = found.where("not kept").select("doc_id").distinct()
     if repeats.isEmpty():
