@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -156,6 +157,29 @@ def placed(stage: DataFrame) -> DataFrame:
     return stage.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
+#: Bits of a filter of ids, in stretches of one bitmap each; a fixed size.
+FILTER_BITS, STRETCH = 1 << 24, 1 << 15
+
+
+def id_filter(rows: DataFrame, column: str):
+    """A test for other tables' ids (long): true for those in the column, and for few others.  It is of one size, so that
+    it may be broadcast whatever the table's size; what it lets through too many, a join takes out."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("long")
+    of = rows.select(place(F.col(column)).alias("h"))
+    bits = of.groupBy((F.col("h") / STRETCH).cast("int").alias("at")).agg(F.bitmap_construct_agg(F.col("h") % STRETCH).alias("bits"))
+    mask = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in bits.collect():  # FILTER_BITS / STRETCH rows of 4 KB at most
+        mask[r["at"] * STRETCH // 8 : (r["at"] + 1) * STRETCH // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    held = rows.sparkSession.sparkContext.broadcast(mask)
+
+    @F.pandas_udf("boolean")
+    def passes(h: pd.Series) -> pd.Series:
+        x = h.to_numpy()
+        return pd.Series((held.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1)
+
+    return lambda name: passes(place(F.col(name)))
+
+
 def running_total(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Adds `out`: the sum of `value` over the rows of the same keys that stand before, in order of (_file, _row).
 
