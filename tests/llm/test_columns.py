@@ -187,6 +187,10 @@ def test_pieces_query(spark, small, documents, frame):
     assert all(out[d["doc_id"]].text_crc32 == zlib.crc32((d["text"] or "").encode()) and out[d["doc_id"]].round_trip for d in documents)
     got = pieces.encode(frame([(1, None), (2, ""), (3, "a b"), (3, "a b")])).collect()
     assert sorted((r.doc_id, r.n_tokens, r.decoded) for r in got) == [(1, 0, ""), (2, 0, ""), (3, 2, "a b"), (3, 2, "a b")]
+    assert pieces.encode(frame([])).count() == 0
+    text = ("some words " * 150_000).strip()
+    long = pieces.encode(frame([(1, text), (None, "x")])).collect()
+    assert {r.doc_id: r.decoded for r in long} == {1: text, None: "x"}
 
 
 # --- media
@@ -350,6 +354,15 @@ def test_shards(spark, frame, documents, small):
     assert got == [(0, 10, zlib.crc32("é".encode())), (1, 8, 0)]
 
 
+def test_keys_of_other_types(spark):
+    rows = spark.createDataFrame([("a", "x"), ("b", "y"), ("a", "z"), (None, "w"), ("17", "v")], "doc_id string, text string")
+    got = sorted((r.doc_id or "", r.shard, r.grown_shard) for r in sharding.shard(rows).collect())
+    assert got[2][1:] == got[3][1:] != got[4][1:] and all(0 <= s < 24 and g in (s, 24) for _, s, g in got)
+    small = sharding.shard(rows.where("doc_id = '17'").selectExpr("cast(doc_id as int) as doc_id", "text")).head()
+    long = sharding.shard(rows.where("doc_id = '17'").selectExpr("cast(doc_id as bigint) as doc_id", "text")).head()
+    assert small.shard == long.shard
+
+
 # --- packing
 
 
@@ -503,3 +516,33 @@ def test_pipeline(spark, small, documents):
     rows = corpus_pipeline.run(spark, small).collect()
     kept = {r.doc_id for r in rows}
     check_pieces(rows, [(d["doc_id"], d["text"]) for d in documents if d["doc_id"] in kept], 4096)
+
+
+def test_pipeline_edge_cases(spark, small, documents, tmp_path):
+    """Nulls in any column, an empty and a very long text, repeated rows, clashing names; then no documents at all."""
+    import corpus_pipeline
+
+    own = [(d["doc_id"], d["text"], d["source"]) for d in documents[:120]]
+    own += [(900_001, None, "s"), (900_002, "", None), (None, "no id but a text of some good words", "s"), (own[0][0], own[0][1], "s"), (900_003, "one quiet word after another " * 30_000, None), (900_004, own[1][1], "s")]
+    names = "doc_id long, text string, lang string, source string, n_chars long, _id long, queue int, y int, node string, digest string, _file string"
+    rows = [(i, t, None, s, None, 1, 2, 3, "n", "d", "f") for i, t, s in own]
+    for name, data in (("some", rows), ("none", [])):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "labels.parquet").symlink_to(f"{small}/labels.parquet")
+        spark.createDataFrame(data, names).write.parquet(str(folder / "documents.parquet"))
+        docs = spark.read.parquet(str(folder / "documents.parquet"))
+        kept = docs
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            before, kept = kept, stage(spark, kept, str(folder))
+            assert kept.columns == docs.columns and kept.exceptAll(before).count() == 0
+        ids = [r.doc_id for r in kept.collect()]
+        assert len({i for i in ids if i is not None}) == len([i for i in ids if i is not None])
+        out = corpus_pipeline.run(spark, str(folder)).collect()
+        assert {r.doc_id for r in out} == set(ids)
+        if data:
+            texts = dict((i, t) for i, t, _ in own)
+            check_pieces(out, [(i, texts[i]) for i in ids], 4096)
+            assert not {own[1][0], 900_004} <= set(ids)
+        else:
+            assert out == []
