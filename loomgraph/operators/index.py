@@ -99,15 +99,15 @@ class VectorIndex:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                flat = batch.column(1).flatten().to_numpy()
-                if len(flat) != batch.num_rows * dim:
+                x = search.doubles(batch.column(1))
+                if x.shape[1] != dim:
                     raise ValueError("bad_request: embedding dimension mismatch")
-                near = unit(flat.reshape(-1, dim)) @ held.value.T
+                near = unit(x) @ held.value.T
                 cell = np.argsort(-near, axis=1, kind="stable")[:, :n] if n > 1 else near.argmax(1)[:, None]
                 out = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), cell.shape[1])))
                 yield pa.record_batch([*out.columns, pa.array(cell.ravel().astype(np.int32))], names=[*batch.schema.names, "_block"])
 
-        return rows.mapInArrow(run, f"{self.id_} long, {self.embedding} array<double>, _block int")
+        return rows.mapInArrow(run, f"{self.id_} long, {self.embedding} {rows.schema[self.embedding].dataType.simpleString()}, _block int")
 
     # -- changes
 

@@ -336,6 +336,42 @@ def test_neighbours_and_index_against_all_pairs(spark, monkeypatch):
         VectorIndex.build(rows.limit(0))
 
 
+def test_few_pairs_of_a_neighbour_join_are_sorted(monkeypatch):
+    """Of the pairs that a block of queries and a stream of vectors make, those that may be among the nearest are scored;
+    exact copies tie by id; vectors without a cosine are left out."""
+    from loomgraph.operators.search import Nearest, Vectors
+
+    rng, seen, put = np.random.default_rng(4), [], Nearest._put
+    monkeypatch.setattr(Nearest, "_put", lambda self, i, j, given: (seen.append(len(i)), put(self, i, j, given))[1])
+    x = rng.normal(size=(6000, 16))
+    x[3000:3050], x[5000:5040] = x[7], x[:40] * 3
+    x[11, 2], x[12, 0], x[13], x[14] = np.nan, np.inf, 0, x[15] * 1e-170
+    ids = rng.permutation(6000)
+    found = Nearest([Vectors(ids[:400], x[:400].copy()), Vectors(ids[400:1000], x[400:1000].copy())], 5)
+    for a in range(0, 6000, 1500):
+        found.meet(Vectors(ids[a : a + 1500], x[a : a + 1500].copy()))
+    u = np.nan_to_num(x, nan=0, posinf=0)
+    u[14] = x[15]
+    n = np.sqrt((u * u).cumsum(1)[:, -1])
+    for i, own in enumerate(found.ids):
+        at = int(np.flatnonzero(ids == own)[0])
+        s = np.array([(u[at] * u[j]).cumsum()[-1] / max(n[at] * n[j], 1e-30) for j in range(6000)]) if at < 60 else u @ u[at] / np.maximum(n * n[at], 1e-30)
+        s[[at, 11, 12]] = -3
+        assert np.allclose(np.sort(found.best[i])[::-1], np.sort(s)[::-1][:5], atol=1e-12) and own not in found.who[i]
+        same = np.flatnonzero(s > 1 - 1e-12)
+        if len(same) >= 5:
+            assert found.who[i].tolist() == sorted(ids[same].tolist())[:5]
+    assert len(found.ids) == 998 and sum(seen) < 0.05 * 998 * 6000
+
+
+def test_nulls_and_lengths_of_neighbours(spark):
+    kind = "vec_id long, embedding array<float>"
+    rows = spark.createDataFrame([(1, [1.0, 0.5]), (2, [1.0, 0.25]), (3, [None, 1.0])], kind)
+    assert {(r.vec_id, r.neighbour) for r in search.nearest_neighbours(rows, 2).collect()} == {(1, 2), (2, 1)}
+    with pytest.raises(Exception, match="dimension mismatch"):
+        search.nearest_neighbours(rows.union(spark.createDataFrame([(4, [1.0]), (5, [1.0, 1.0, 1.0])], kind)), 2).collect()
+
+
 # --- statistics
 
 
