@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,12 @@ def parsed(properties: Column) -> Column:
     return F.try_parse_json(F.coalesce(properties, F.lit("{}")))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value).  The value is computed once however often it is named, also where the optimizer moves the expression
+    beneath a projection (as it does with filters), for it can't put the value in the place of a lambda's variable."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _path(name: str) -> str:
     return f"$.{name}" if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name) else "$[" + json.dumps(name) + "]"
 
@@ -32,9 +39,9 @@ def _value(body: Column, name: str, p: Property | None = None) -> Column:
 
 def _kind(v: Column) -> Column:
     """The value's type name in messages."""
-    s = F.schema_of_variant(v)
-    return (
-        F.when(s == "VOID", "null").when(s == "BOOLEAN", "bool").when(s == "BIGINT", "int").when(s.startswith("DECIMAL") | (s == "DOUBLE"), "float").when(s == "STRING", "string").when(s.startswith("ARRAY"), "list").otherwise("map")
+    return once(
+        F.schema_of_variant(v),
+        lambda s: F.when(s == "STRING", "string").when(s == "BIGINT", "int").when(s.startswith("DECIMAL") | (s == "DOUBLE"), "float").when(s == "BOOLEAN", "bool").when(s == "VOID", "null").when(s.startswith("ARRAY"), "list").otherwise("map"),
     )
 
 
@@ -44,30 +51,34 @@ def _shown(x: float) -> str:
 
 def message(body: Column, name: str, p: Property) -> Column:
     """What is wrong with a property of the parsed body (after defaults), or null."""
-    v = _value(body, name, p)
-    kind, text = _kind(v), F.try_variant_get(v, "$", "string")
+    return once(_value(body, name, p), lambda v: _wrong(v, p))
+
+
+def _wrong(v: Column, p: Property) -> Column:
+    text = F.try_variant_get(v, "$", "string")
     accepted = {"string": "string", "datetime": "string", "enum": "string", "int": "int", "float": "float", "bool": "bool", "list:string": "list"}[p.type]
     out = F.when(v.isNull(), F.lit("required property is missing") if p.required else F.lit(None).cast("string"))
     out = out.when(F.is_variant_null(v), F.lit("required property cannot be null") if p.required and not p.nullable else F.lit(None).cast("string"))
-    out = out.when(kind != accepted, F.concat(F.lit(f"expected type {TYPES[p.type]}, got "), kind))
+    of_kind = F.lit(None).cast("string")
     if p.type == "enum" and p.values is not None:
         listed = "[" + ", ".join(f'"{x}"' for x in p.values) + "]"
-        out = out.when(~text.isin(p.values), F.concat(F.lit("invalid enum value '"), text, F.lit(f"', expected one of {listed}")))
+        of_kind = once(text, lambda t: F.when(~t.isin(p.values), F.concat(F.lit("invalid enum value '"), t, F.lit(f"', expected one of {listed}"))))
     if p.type == "list:string":
         items = F.try_variant_get(v, "$", "array<variant>")
-        kinds = F.transform(items, lambda x, i: F.when(_kind(x) != "string", F.concat(F.lit("list:string element "), i.cast("string"), F.lit(" is not a string: got "), _kind(x))))
-        out = out.when(F.exists(kinds, lambda x: x.isNotNull()), F.element_at(F.filter(kinds, lambda x: x.isNotNull()), 1))
+        kinds = F.transform(items, lambda x, i: once(_kind(x), lambda k: F.when(k != "string", F.concat(F.lit("list:string element "), i.cast("string"), F.lit(" is not a string: got "), k))))
+        of_kind = once(F.array_compact(kinds), lambda found: F.when(F.size(found) > 0, F.element_at(found, 1)))
     if p.range is not None and p.type in ("int", "float"):
-        number = F.try_variant_get(v, "$", "double")
-        shown = F.when(number == F.floor(number), F.floor(number).cast("string")).otherwise(number.cast("string"))
-        out = out.when((number < p.range[0]) | (number > p.range[1]), F.concat(F.lit("value "), shown, F.lit(f" out of range [{_shown(p.range[0])}, {_shown(p.range[1])}]")))
-    return out
+        shown = lambda x: F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+        of_kind = once(F.try_variant_get(v, "$", "double"), lambda x: F.when((x < p.range[0]) | (x > p.range[1]), F.concat(F.lit("value "), shown(x), F.lit(f" out of range [{_shown(p.range[0])}, {_shown(p.range[1])}]"))))
+    return out.otherwise(once(_kind(v), lambda kind: F.when(kind == accepted, of_kind).otherwise(F.concat(F.lit(f"expected type {TYPES[p.type]}, got "), kind))))
 
 
 def errors(body: Column, declared: dict[str, Property]) -> Column:
     """Array of (property, message), in order of property; empty if all is well."""
-    each = [F.struct(F.lit(k).alias("property"), message(body, k, p).alias("message")) for k, p in sorted(declared.items())]
-    return F.filter(F.array(*each), lambda e: e["message"].isNotNull()) if each else F.array().cast(f"array<{ERROR}>")
+    if not declared:
+        return F.array().cast(f"array<{ERROR}>")
+    each = lambda b: [F.struct(F.lit(k).alias("property"), message(b, k, p).alias("message")) for k, p in sorted(declared.items())]
+    return F.filter(once(body, lambda b: F.array(*each(b))), lambda e: e["message"].isNotNull())
 
 
 def with_defaults(properties: Column, body: Column, declared: dict[str, Property]) -> Column:

@@ -295,6 +295,30 @@ def test_thresholds_of_a_type():
     assert resolve.Thresholds.of({"fuzzy_threshold": 50, "vector_threshold": 0.5, "auto_merge_threshold": 60}) == resolve.Thresholds(50, 0.5, 60)
 
 
+def _wide(n: int):
+    from loomgraph.plans.schema import Schema
+
+    kinds = [{"type": "int", "range": [0, 9]}, {"type": "enum", "values": ["a", "b"]}, {"type": "list:string"}, {"type": "float", "default": 1.5}, {"type": "string", "required": True, "default": "x"}]
+    properties = {f"p{i}": kinds[i % 5] for i in range(n)}
+    return Schema.of({"name": "wide", "node_types": {"N": {"properties": properties}}, "edge_types": {"E": {"from": "N", "to": "N", "properties": properties}, "G": {}}})
+
+
+def _times(df, what: str) -> int:
+    return df._jdf.queryExecution().optimizedPlan().toString().count(what)
+
+
+EDGE = "edge_type string, from_type string, from_id string, to_type string, to_id string, properties string"
+
+
+@pytest.mark.parametrize("n", [2, 15])
+def test_properties_are_parsed_once_however_many_are_declared(spark, n):
+    """Also in the filters that the optimizer makes of what follows."""
+    raw = spark.createDataFrame([("E", "N", "1", "N", "2", '{"p0": 10, "p1": "b", "p2": ["a", 5]}')] * 2, EDGE).distinct()
+    out = validate.validate_edges(raw, _wide(n)).select("from_id", F.explode("errors").alias("e"))
+    assert 1 <= _times(out, "parseJson") <= 3 and _times(out, "schemaOfVariant") <= 3 * (n + n // 5)
+    assert [r.e.message for r in out.collect()] == ["value 10 out of range [0, 9]", "list:string element 1 is not a string: got int"][: 1 if n < 3 else 2]
+
+
 # --- search
 
 
