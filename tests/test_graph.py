@@ -319,6 +319,18 @@ def test_properties_are_parsed_once_however_many_are_declared(spark, n):
     assert [r.e.message for r in out.collect()] == ["value 10 out of range [0, 9]", "list:string element 1 is not a string: got int"][: 1 if n < 3 else 2]
 
 
+@pytest.mark.parametrize("n", [2, 15])
+def test_written_edges_are_parsed_once(spark, n):
+    from loomgraph.operators.graph import Graph
+
+    rows = [("E", "N", "1", "N", "2", '{"p0": 10}'), ("E", "N", "1", "N", "3", '{"p0": 9}'), ("E", "X", "1", "N", "4", "{}")]
+    done = Graph(_wide(n)).create_edges(spark.createDataFrame(rows, EDGE).distinct())
+    kept = done.graph.edges["E"]
+    assert 1 <= _times(kept, "parseJson") <= 2 and 1 <= _times(done.refused, "parseJson") <= 3
+    assert [(r.to_id, r.p0) for r in kept.collect()] == [("3", 9)]
+    assert sorted((r.to_id, r.message) for r in done.refused.collect()) == [("2", "value 10 out of range [0, 9]"), ("4", "Invalid edge: E cannot connect X to N")]
+
+
 # --- search
 
 
