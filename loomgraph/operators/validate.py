@@ -85,13 +85,17 @@ def with_defaults(properties: Column, body: Column, declared: dict[str, Property
     """JSON text with a default for each absent property that has one; explicit nulls stay.  All absent ones are put in
     at once, so the expression grows with the number of defaults and no faster."""
     text = F.coalesce(properties, F.lit("{}"))
-    items = [F.when(_value(body, k).isNull(), F.lit(f"{json.dumps(k)}:{json.dumps(p.default)}")) for k, p in sorted(declared.items()) if p.has_default]
-    if not items:
+    defaults = [(k, p) for k, p in sorted(declared.items()) if p.has_default]
+    if not defaults:
         return text
-    trimmed = F.regexp_replace(text, r"\s+$", "")
-    inner = F.substring(trimmed, F.lit(1), F.length(trimmed) - 1)
-    comma = F.when(F.regexp_like(inner, F.lit(r"^\s*\{\s*$")), F.lit("")).otherwise(F.lit(","))
-    return F.when(F.coalesce(*items).isNull(), text).otherwise(F.concat(inner, comma, F.array_join(F.array(*items), ","), F.lit("}")))
+    items = once(body, lambda b: F.array(*[F.when(_value(b, k).isNull(), F.lit(f"{json.dumps(k)}:{json.dumps(p.default)}")) for k, p in defaults]))
+
+    def put(whole: Column, added: Column) -> Column:
+        trimmed = F.regexp_replace(whole, r"\s+$", "")
+        inner = once(trimmed, lambda t: F.substring(t, F.lit(1), F.length(t) - 1))
+        return once(inner, lambda t: F.concat(t, F.when(F.regexp_like(t, F.lit(r"^\s*\{\s*$")), F.lit("")).otherwise(F.lit(",")), added, F.lit("}")))
+
+    return once(text, lambda whole: once(F.array_join(items, ","), lambda added: F.when(added == "", whole).otherwise(put(whole, added))))
 
 
 def validate_nodes(nodes: DataFrame, schema: Schema, node_type: str) -> DataFrame:
@@ -127,12 +131,11 @@ def typed(nodes: DataFrame, node_type: NodeType | EdgeType, keys: tuple[str, ...
     """Valid nodes (or edges) as columns: the keys, one of its type for each declared property, _present (names of the
     keys that are there, so that absent and null differ) and _extra (JSON text of each undeclared one); and seq, where
     there is one."""
-    columns = F.from_json("properties", node_type.struct())
-    whole = F.from_json("properties", "map<string,variant>")
     names = sorted(node_type.properties)
-    extra = F.map_filter(whole, lambda k, v: ~k.isin(names)) if names else whole
+    extra = F.map_filter("_whole", lambda k, v: ~k.isin(names)) if names else F.col("_whole")
     keep = [*keys, *(["seq"] if "seq" in nodes.columns and "seq" not in names else [])]
-    return nodes.select(*keep, *[columns[n].alias(n) for n in names], F.array_sort(F.map_keys(whole)).alias("_present"), F.transform_values(extra, lambda _, v: F.to_json(v)).alias("_extra"))
+    read = nodes.select(*keep, F.from_json("properties", node_type.struct()).alias("_read"), F.from_json("properties", "map<string,variant>").alias("_whole"))
+    return read.select(*keep, *[F.col("_read")[n].alias(n) for n in names], F.array_sort(F.map_keys("_whole")).alias("_present"), F.transform_values(extra, lambda _, v: F.to_json(v)).alias("_extra"))
 
 
 def index_text(c: Column, kind: str) -> Column:

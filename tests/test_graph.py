@@ -331,6 +331,18 @@ def test_written_edges_are_parsed_once(spark, n):
     assert sorted((r.to_id, r.message) for r in done.refused.collect()) == [("2", "value 10 out of range [0, 9]"), ("4", "Invalid edge: E cannot connect X to N")]
 
 
+@pytest.mark.parametrize("n", [5, 15])
+def test_nodes_with_defaults_are_read_once(spark, n):
+    from loomgraph.operators.graph import Graph
+
+    rows = [("1", '{"p0": 3}'), ("2", '{"p3": null, "p4": "y", "more": 7}'), ("3", '{"p0": "z"}'), ("4", " { } \t")]
+    done = Graph(_wide(n)).create_nodes("N", spark.createDataFrame(rows, "node_id string, properties string").distinct())
+    kept = done.graph.nodes["N"]
+    assert _times(kept, "from_json(") <= 2 and 1 <= _times(kept, "parseJson") <= 2 and _times(kept, "regexp_replace(") <= 1
+    assert {r.node_id: (r.p0, r.p3, r.p4, dict(r._extra)) for r in kept.collect()} == {"1": (3, 1.5, "x", {}), "2": (None, None, "y", {"more": "7"}), "4": (None, 1.5, "x", {})}
+    assert [(r.node_id, r.property, r.message) for r in done.refused.collect()] == [("3", "p0", "expected type Int, got string")]
+
+
 # --- search
 
 
