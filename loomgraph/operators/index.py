@@ -18,6 +18,9 @@ from ..plans.schema import GraphError
 from . import search
 from .graph import upsert
 
+#: Rows that a worker makes at a time when it places them in cells.
+OUT = 8192
+
 
 @dataclass(frozen=True)
 class IndexConfig:
@@ -66,6 +69,18 @@ def probes_for(x: np.ndarray, centres: np.ndarray, config: IndexConfig) -> int:
     return int(need[min(len(need) - 1, int(np.ceil(config.recall * len(need))))]) + 1
 
 
+def placed(batch: pa.RecordBatch, centres: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, embedding) once for each of their n nearest cells, about OUT of them at a time."""
+    x, step = search.doubles(batch.column(1)), max(1, OUT // n)
+    if x.shape[1] != centres.shape[1]:
+        raise ValueError("bad_request: embedding dimension mismatch")
+    for a in range(0, len(x), step):
+        near = unit(x[a : a + step]) @ centres.T
+        cell = np.argsort(-near, axis=1, kind="stable")[:, :n] if n > 1 else near.argmax(1)[:, None]
+        out = batch.take(pa.array(a + np.repeat(np.arange(len(cell)), cell.shape[1])))
+        yield pa.record_batch([*out.columns, pa.array(cell.ravel().astype(np.int32))], names=[*batch.schema.names, "_block"])
+
+
 @dataclass(frozen=True)
 class VectorIndex:
     """vectors: id, embedding, _cell.  Immutable: changes give a new one."""
@@ -93,19 +108,11 @@ class VectorIndex:
     def _placed(self, rows: DataFrame, cells: int) -> DataFrame:
         """Rows once for each of their nearest cells, with _block."""
         held = rows.sparkSession.sparkContext.broadcast(self.centres)  # config.cells at most
-        n, dim = cells, self.centres.shape[1]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = search.doubles(batch.column(1))
-                if x.shape[1] != dim:
-                    raise ValueError("bad_request: embedding dimension mismatch")
-                near = unit(x) @ held.value.T
-                cell = np.argsort(-near, axis=1, kind="stable")[:, :n] if n > 1 else near.argmax(1)[:, None]
-                out = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), cell.shape[1])))
-                yield pa.record_batch([*out.columns, pa.array(cell.ravel().astype(np.int32))], names=[*batch.schema.names, "_block"])
+                if batch.num_rows:
+                    yield from placed(batch, held.value, cells)
 
         return rows.mapInArrow(run, f"{self.id_} long, {self.embedding} {rows.schema[self.embedding].dataType.simpleString()}, _block int")
 

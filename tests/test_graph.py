@@ -420,6 +420,22 @@ def test_nulls_and_lengths_of_neighbours(spark):
         search.nearest_neighbours(rows.union(spark.createDataFrame([(4, [1.0]), (5, [1.0, 1.0, 1.0])], kind)), 2).collect()
 
 
+def test_placing_in_cells_makes_few_rows_at_a_time():
+    import pyarrow as pa
+
+    from loomgraph.operators import index
+
+    x = np.random.default_rng(1).normal(size=(3000, 4))
+    batch = pa.record_batch([pa.array(np.arange(3000)), pa.array(list(x))], names=["vec_id", "embedding"])
+    centres = x[:50]
+    sizes, got = [], []
+    for part in index.placed(batch, centres, 20):
+        sizes.append(part.num_rows)
+        got += zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)
+    want = np.argsort(-(index.unit(x) @ centres.T), axis=1, kind="stable")[:, :20]
+    assert max(sizes) <= index.OUT and got == [(i, int(c)) for i, row in enumerate(want) for c in row]
+
+
 # --- statistics
 
 
