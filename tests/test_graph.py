@@ -331,6 +331,20 @@ def test_written_edges_are_parsed_once(spark, n):
     assert sorted((r.to_id, r.message) for r in done.refused.collect()) == [("2", "value 10 out of range [0, 9]"), ("4", "Invalid edge: E cannot connect X to N")]
 
 
+def test_edges_are_checked_once_by_compiled_code(spark):
+    """Of written and of refused edges: one check a row, without lambdas and without paths to names that may be absent
+    (either costs several times what the check does)."""
+    rows = [("E", "N", "1", "N", str(i), p) for i, p in enumerate(('{"p0": 10, "p1": "c"}', '{"p0": "9"}', '{"p1": "b", "more": 1}', "{}", '["p0"]', None))]
+    done = Graph(_wide(2)).create_edges(spark.createDataFrame([*rows, ("E", "X", "1", "N", "6", '{"p0": 10}')], EDGE).distinct())
+    kept = done.graph.edges["E"].select("to_id", "p0", "p1")
+    for df in (kept, done.refused):
+        assert _times(df, "parseJson") == 1 and _times(df, "lambdafunction") == 0 and _times(df, "$.p") == 0
+    assert sorted((r.to_id, r.p0, r.p1) for r in kept.collect()) == [("2", None, "b"), ("3", None, None), ("4", None, None), ("5", None, None)]
+    assert sorted((r.to_id, r.property, r.message) for r in done.refused.collect()) == [
+        ("0", "p0", "value 10 out of range [0, 9]"), ("0", "p1", "invalid enum value 'c', expected one of [\"a\", \"b\"]"), ("1", "p0", "expected type Int, got string"), ("6", None, "Invalid edge: E cannot connect X to N"),
+    ]
+
+
 @pytest.mark.parametrize("n", [5, 15])
 def test_nodes_with_defaults_are_read_once(spark, n):
     from loomgraph.operators.graph import Graph
